@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))  # lets local Python workers import this package
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +37,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, a cut table of narrow rows, marked for broadcast if it has at most so many rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete the cut tables of this application. Call it once all results that read them are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
