@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import hilbert, license_scan, quality_rules, secret_scan
+from . import decontaminate, hilbert, jaccard_join, license_scan, quality_rules, secret_scan
 from .common import table
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": lambda spark, d: secret_scan.secret_digest(table(spark, d, "documents")),
+        "op2_decontaminate": lambda spark, d: decontaminate.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op3_license_scan": lambda spark, d: license_scan.license_digest(table(spark, d, "documents")),
         "op5_hilbert_shards": lambda spark, d: hilbert.shard_documents(table(spark, d, "documents")),
         "op7_quality_rules": lambda spark, d: quality_rules.quality_verdicts(table(spark, d, "documents")),
+        "op10_jaccard_join": lambda spark, d: jaccard_join.near_digest(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.VERDICTS_SQL}
+    return {"op2_decontaminate": decontaminate.DIGEST_SQL, "op7_quality_rules": quality_rules.VERDICTS_SQL}
