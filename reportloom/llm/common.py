@@ -37,6 +37,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *more: Column | str) -> DataFrame:
+    """df's rows as one column _row, and more columns beside it, so that no name of df can clash with a working column; _row.* unpacks them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, a cut table of narrow rows, marked for broadcast if it has at most so many rows; beyond that joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df
