@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_key, small, text_of
+from .common import cut, document_key, packed, small, text_of
 from .textnum import ALNUM, U, Block, Words, blocks, sequence_hash
 
 WINDOW = 13
@@ -197,8 +197,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs without the contaminated ones. Rows that repeat an id and a text go or stay together."""
     bad = contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_key").alias("_doc_key"), F.col("text_key").alias("_text_key")).distinct()
     bad = small(cut(bad, "contaminated"))
-    keyed = docs.withColumns(dict(zip(("_doc_key", "_text_key"), document_key(id_col, text_col), strict=True)))
-    return keyed.join(bad, ["_doc_key", "_text_key"], "left_anti").drop("_doc_key", "_text_key").select(*docs.columns)
+    doc_key, text_key = document_key(id_col, text_col)
+    keyed = packed(docs, doc_key.alias("_doc_key"), text_key.alias("_text_key"))
+    return keyed.join(bad, ["_doc_key", "_text_key"], "left_anti").select("_row.*")
 
 
 #: The digest for DuckDB.

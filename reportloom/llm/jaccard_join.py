@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, document_key, small, text_of
+from .common import cut, document_key, packed, small, text_of
 from .textnum import ODD, SOLID, U, blocks, mix, sequence_hash
 
 SHINGLE = 5
@@ -240,5 +240,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = near.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(F.col(id_col), F.col("doc_key"), F.col("text_key"))).alias("k"))
     kept = best.select(F.col("k.doc_key").alias("_doc_key"), F.col("k.text_key").alias("_text_key"))
     kept = kept.unionByName(near.filter("n_shingles = 0 or component_id is null").select(F.col("doc_key").alias("_doc_key"), F.col("text_key").alias("_text_key"))).distinct()
-    keyed = docs.withColumns(dict(zip(("_doc_key", "_text_key"), document_key(id_col, text_col), strict=True)))
-    return keyed.join(small(cut(kept, "kept")), ["_doc_key", "_text_key"], "left_semi").select(*docs.columns)
+    doc_key, text_key = document_key(id_col, text_col)
+    keyed = packed(docs, doc_key.alias("_doc_key"), text_key.alias("_text_key"))
+    return keyed.join(small(cut(kept, "kept")), ["_doc_key", "_text_key"], "left_semi").select("_row.*")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import packed, text_of
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -107,6 +107,12 @@ def quality_verdicts(docs: DataFrame, version: str = "v1") -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
+    """docs without those that the policy of that version rejects; null and empty texts fail its rule of few words."""
+    ledger = rule_ledger(packed(docs, F.col(f"`{text_col}`").alias("_t")), "_t")
+    return ledger.filter(passes(version)).select("_row.*")
+
+
 #: The same verdicts for DuckDB.
 VERDICTS_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
