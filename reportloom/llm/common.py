@@ -37,6 +37,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, made: dict[str, Column], drop: list[str]) -> DataFrame:
+    """df without drop and with the columns made, computed once a row: a filter on them is not pushed into their expressions, as it would be through a projection."""
+    rest = [c for c in df.columns if c not in made and c not in drop]
+    once = df.select(*[F.col(f"`{c}`") for c in rest], F.explode(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias("_made"))
+    return once.select(*[F.col(f"`{c}`") for c in rest], "_made.*")
+
+
 def packed(df: DataFrame, *more: Column | str) -> DataFrame:
     """df's rows as one column _row, and more columns beside it, so that no name of df can clash with a working column; _row.* unpacks them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)

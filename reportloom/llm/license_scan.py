@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_of
+from .common import lower_ascii, settled, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -103,7 +103,8 @@ def scan_licenses(df: DataFrame, text_col: str = "text", frequencies: dict[str,
     out = out.withColumns({"places": F.sort_array(F.concat(*found)), "_scores": F.when(F.size("_hits") > 0, F.array(*scores)).otherwise(none)})
     best = F.coalesce(F.array_max(F.transform("_scores", lambda x: x["score"])), F.lit(0.0))
     labels = F.transform(F.filter("_scores", lambda x: x["score"] >= least_score), lambda x: x["label"])
-    return out.withColumns({"n_words": F.size("_words").cast("long"), "template_labels": F.sort_array(F.array_distinct(labels)), "score": F.when(F.size("places") > 0, 1.0).otherwise(best)}).drop("_words", "_hits", "_top", "_scores")
+    made = {"n_words": F.size("_words").cast("long"), "places": F.col("places"), "template_labels": F.sort_array(F.array_distinct(labels)), "score": F.when(F.size("places") > 0, 1.0).otherwise(best)}
+    return settled(out, made, ["_words", "_hits", "_top", "_scores"])
 
 
 def license_digest(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_of
+from .common import packed, settled, text_of
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -68,7 +68,7 @@ def measurements(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_letters": letters,
         "n_capitals": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", "")),
     }
-    return out.withColumns({k: v.cast("long") for k, v in measured.items()}).drop("_text", "_words", "_lines", "_hashes", "_sorted", "_twice")
+    return settled(out, {k: v.cast("long") for k, v in measured.items()}, ["_text", "_words", "_lines", "_hashes", "_sorted", "_twice"])
 
 
 def rule_ledger(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import settled, text_of
 
 # The base forms, and the least length of what they match.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -129,8 +129,8 @@ def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = df.withColumn("_text", text)
     t = F.col("_text")
     out = out.withColumns({"_a": places(t, ASSIGN, "assign", 1, 12), "_k": places(t, ACCESS, "access"), "_h": places(t, HEX, "hex"), "_e": entropy_places(t)})
-    out = out.withColumn("base_places", F.sort_array(F.concat("_a", "_k", "_h")))
-    return out.withColumn("all_places", F.sort_array(F.concat("base_places", "_e"))).drop("_text", "_a", "_k", "_h", "_e")
+    made = {"base_places": F.sort_array(F.concat("_a", "_k", "_h")), "all_places": F.sort_array(F.concat("_a", "_k", "_h", "_e"))}
+    return settled(out, made, ["_text", "_a", "_k", "_h", "_e"])
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
