@@ -1,11 +1,11 @@
 """License scans by a positional rare-token index (operator 3).
 
 Each licence template and key phrase is posted in a small index: word -> (template, position). A corpus pass counts in how
-many documents each posted word occurs; a word's IDF ranks it. In a file, the posted words are looked up in order of
-IDF; each place of a template's rarest word that the file has gives an alignment (place in the file less place in
-the template), the other postings are held against the file at the same alignment, and the share that agree is the score.
-A template's label is given only if its mandatory key phrase stands inside the aligned text. A key phrase is aligned by
-its own rarest word and verified word for word. Column expressions over one row, and one small count by word.
+many documents each posted word occurs, which gives its IDF. A file is looked up by the word of highest IDF of each
+key phrase. Each of its places gives an alignment (place in the file less place in the phrase), at which the phrase is
+verified word for word. A template has a mandatory key phrase: where that stands, the template's postings are held
+against the file at the same alignment, and the share that agree is the score. Column expressions over one row, and one
+small count by word.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced", "all rights reserved"),
 )
-TOP = 12
 LEAST_SCORE = 0.6
 
 
@@ -66,45 +65,38 @@ def places(hits: Column, phrase: list[str], anchor: str) -> Column:
     return F.filter(starts, lambda s: F.when(s >= 0, equal(s)).otherwise(False))
 
 
-def template_score(template: list[str], phrase: list[str]) -> Column:
+def template_score(template: list[str], phrase: list[str], anchor: str) -> Column:
     """The best share of the template's words that agree with the file at one alignment which holds the key phrase, else 0."""
     key = next(i for i in range(len(template)) if template[i : i + len(phrase)] == phrase)
     posted = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(i).alias("at")) for i, w in enumerate(template)])
-    rarest = F.get(F.filter("_top", lambda w: F.array_contains(literal(sorted(set(template))), w)), F.lit(0))
-    alignments = F.flatten(F.transform(F.filter("_hits", lambda h: h["word"] == rarest), lambda h: F.transform(F.filter(posted, lambda p: p["word"] == h["word"]), lambda p: h["at"] - p["at"])))
     share = lambda d: F.size(F.filter(posted, lambda p: F.when(d + p["at"] >= 0, F.get("_words", d + p["at"]) == p["word"]).otherwise(False))) / len(template)
-    holds = lambda d: F.when(d + key >= 0, F.slice("_words", d + key + 1, len(phrase)) == literal(phrase)).otherwise(False)
-    return F.coalesce(F.array_max(F.transform(alignments, lambda d: F.when(holds(d), share(d)).otherwise(0.0))), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(places(F.col("_hits"), phrase, anchor), lambda s: share(s - key))), F.lit(0.0))
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text", frequencies: dict[str, int] | None = None, top: int = TOP, least_score: float = LEAST_SCORE) -> DataFrame:
+def scan_licenses(df: DataFrame, text_col: str = "text", frequencies: dict[str, int] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
     """df with n_words, places (array of (start, label) of the key phrases, in order), template_labels and score.
 
-    frequencies: document_frequencies of the corpus, counted here if not given. top bounds the lookups by IDF that align
-    templates; key phrases are always looked up. score is 1 where a key phrase stands, else the best template's share.
+    frequencies: document_frequencies of the corpus, counted here if not given. score is 1 where a key phrase stands, else the best template's share.
     Null texts count as empty: no words, no places, score 0. Columns of those names are replaced.
     """
     df_of = document_frequencies(df, text_col) if frequencies is None else frequencies
     rank = {w: i for i, w in enumerate(sorted(vocabulary(), key=lambda w: (df_of[w], w)))}  # highest IDF first
-    ranked = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     out = df.withColumn("_words", words_of(text_of(text_col)))
-    hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(*rank), F.struct(i.alias("at"), w.alias("word")))), lambda h: h.isNotNull())
-    out = out.withColumn("_hits", hits)
-    seen = F.sort_array(F.transform(F.array_distinct(F.transform("_hits", lambda h: h["word"])), lambda w: F.struct(F.element_at(ranked, w).alias("rank"), w.alias("word"))))
-    out = out.withColumn("_top", F.transform(F.slice(seen, 1, top), lambda x: x["word"]))
+    rarest = lambda phrase: min(phrase.split(), key=rank.__getitem__)
+    anchors = sorted({rarest(p) for p, _ in PHRASES} | {rarest(p) for _, _, p in TEMPLATES})
+    hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(*anchors), F.struct(i.alias("at"), w.alias("word")))), lambda h: h.isNotNull())
+    out = out.withColumn("_hits", F.when(F.arrays_overlap("_words", literal(anchors)), hits).otherwise(F.array().cast("array<struct<at:int,word:string>>")))
     found = []
     for text, label in PHRASES:
-        phrase = text.split()
-        anchor = min(phrase, key=rank.__getitem__)
-        starts = places(F.col("_hits"), phrase, anchor)
+        starts = places(F.col("_hits"), text.split(), rarest(text))
         found.append(F.arrays_zip(starts.cast("array<bigint>").alias("start"), F.array_repeat(F.lit(label), F.size(starts)).alias("label")))
-    scores = [F.struct(template_score(t.split(), p.split()).alias("score"), F.lit(label).alias("label")) for label, t, p in TEMPLATES]
+    scores = [F.struct(template_score(t.split(), p.split(), rarest(p)).alias("score"), F.lit(label).alias("label")) for label, t, p in TEMPLATES]
     none = F.array().cast("array<struct<score:double,label:string>>")
     out = out.withColumns({"places": F.sort_array(F.concat(*found)), "_scores": F.when(F.size("_hits") > 0, F.array(*scores)).otherwise(none)})
     best = F.coalesce(F.array_max(F.transform("_scores", lambda x: x["score"])), F.lit(0.0))
     labels = F.transform(F.filter("_scores", lambda x: x["score"] >= least_score), lambda x: x["label"])
     made = {"n_words": F.size("_words").cast("long"), "places": F.col("places"), "template_labels": F.sort_array(F.array_distinct(labels)), "score": F.when(F.size("places") > 0, 1.0).otherwise(best)}
-    return settled(out, made, ["_words", "_hits", "_top", "_scores"])
+    return settled(out, made, ["_words", "_hits", "_scores"])
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
