@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 # The tables that the checks are compared on.
@@ -48,13 +50,33 @@ SELECT report_id, component_id AS label_id,
  CASE WHEN component_id % 8 = 0 THEN '' ELSE serial_lot END AS batch_number,
  CASE WHEN component_id % 10 = 0 THEN replace(production_date, '.', '/') ELSE production_date END AS production_date
 FROM components WHERE (report_id + component_id) % 9 <> 0
+""",
+    "cells": """
+SELECT report_id AS table_id, CAST(0 AS INT) AS row_no, c.col_no, CASE c.col_no WHEN 0 THEN '参数' WHEN 1 THEN '型号' WHEN 2 THEN '标准设置' ELSE '允许误差' END AS text
+FROM (SELECT DISTINCT report_id FROM inspection_items) i CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3)) v(col)) c
+UNION ALL
+SELECT report_id AS table_id, position AS row_no, c.col_no, CASE
+ WHEN position % 6 = 0 THEN CASE c.col_no WHEN 0 THEN '参数' WHEN 1 THEN '型号' WHEN 2 THEN '标准设置' ELSE '允许误差' END
+ WHEN c.col_no = 0 THEN CASE WHEN position > 1 AND length(inspection_project) = 3 THEN '' ELSE inspection_project END
+ WHEN c.col_no = 1 THEN CASE WHEN position % 3 = 2 THEN '' ELSE concat('M', CAST(position AS STRING)) END
+ WHEN c.col_no = 2 THEN CASE WHEN remark = '' THEN '' ELSE standard_requirement END
+ ELSE CASE WHEN test_result = '' THEN '' ELSE '±5%' END END AS text
+FROM inspection_items i CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3)) v(col)) c
+""",
+    "ptr_lines": """
+SELECT report_id AS ptr_id, source_page AS page_no, CAST(row_index_in_page * 3 + k.n AS INT) AS line_no, CASE k.n
+ WHEN 0 THEN concat(CASE WHEN position % 7 = 0 THEN '3.1' ELSE standard_clause END, CASE WHEN position % 2 = 0 THEN ' ' ELSE '．' END, inspection_project)
+ WHEN 1 THEN CASE WHEN position % 4 = 3 THEN concat('2/', CAST(source_page AS STRING)) ELSE concat(standard_requirement, '，见表', CAST(position % 3 + 1 AS STRING)) END
+ ELSE CASE WHEN position % 5 = 0 THEN '' ELSE concat('a) ', standard_requirement) END END AS line
+FROM inspection_items CROSS JOIN (SELECT CAST(n AS INT) AS n FROM (VALUES (0), (1), (2)) v(n)) k
 """,
 }
-NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"]}
+NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"]}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived one over the given tables."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))  # lets local Python workers import this package
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = SQL[name]

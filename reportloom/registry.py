@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import checks
+from .plans import checks, documents
 
-MODULES = (checks,)
+MODULES = (checks, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
