@@ -10,11 +10,12 @@ Pigeonhole: with N non-empty parts in the fuller sketch, at least T = N - d part
 d + 1 + x smallest part keys in one order common to all are therefore enough to share 1 + x keys (or T, if fewer). A set that has too
 few parts (N <= d) is sketched with one shingle a part as well; a pair of which both sets are such meets there.
 
-Keys are joined by shuffle. A pair is checked by size, by the Hamming distance of a 512-bit parity sketch, and by the
-exact sets. Links are found in two steps, neither of which emits all pairs of a group:
-1. every member of a key is compared with the key's smallest member, and linked sets become components;
-2. pairs that share a key and lie in different components are compared. A key with more than HEAVY members (a passage that many documents share) is
-   left out for sets of which at most x of the keys are such: by the count above, their pairs share another key.
+Keys are joined by shuffle. A pair is checked by the number of keys it shares, by size, by the Hamming distance of a
+512-bit parity sketch, and by the exact sets. Links are found in two steps, neither of which emits all pairs of a group:
+1. members of a key that share enough keys with its smallest member are compared with it, and linked sets become components;
+2. each set leaves out the x of its keys that most sets have (passages that many documents share); by the count above, linked
+   sets still share a key. Only sets that still share one with a set of another component are sketched again, now with one
+   shingle a part and parts in order of rarity, and their pairs are compared.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ SHINGLE = 5
 BAND = 4  # a band's largest size is so many times its smallest
 LEAST_PARTS = 256
 SPARE = 8  # x is the size over this
-HEAVY = 32
 LONGS = 8  # of the 512-bit sketch
 
 
@@ -156,22 +156,60 @@ def close_enough(prefix_a: str = "a_", prefix_b: str = "b_") -> Column:
     return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (7 * distance <= a + b)
 
 
+def sets_of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes, each from one document that has the set."""
+    keys = small(cut(nodes.join(wanted, "node", "left_semi").select("doc_key", "text_key"), "wanted"))
+    chosen = docs.select(F.col(text_col), *document_key("_id", text_col)).join(keys, ["doc_key", "text_key"], "left_semi")
+    return cut(sets_of(chosen, text_col).dropDuplicates(["node"]), "sets")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sets have a Jaccard index of 3/4 or more."""
     facts = nodes.select("node", "n_shingles", *[f"p{i}" for i in range(LONGS)])
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in facts.columns[1:]]), side)
     pairs = cut(pairs.filter(close_enough()).select("a", "b"), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = small(cut(nodes.join(needed, "node", "left_semi").select("doc_key", "text_key", "node"), "needed"))
-    keyed = docs.select(F.col(text_col), *document_key("_id", text_col)).join(keys.drop("node"), ["doc_key", "text_key"], "left_semi")
-    sets = cut(sets_of(keyed, text_col).dropDuplicates(["node"]), "sets")
+    sets = sets_of_nodes(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text_col)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.filter(100 * both >= 75 * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def undecided(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of the sets that may be linked with one of another component.
+
+    Sets of two components share keys that members of both have. Each set leaves out the `spare` of these with most members: of the more
+    than `spare` keys that linked sets share, the one with fewest members is left out by neither.
+    """
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for step in range(2):
+        each = W.partitionBy("key")
+        rooted = rooted.withColumns({"r0": F.min("root").over(each), "r1": F.max("root").over(each)}).filter("r0 <> r1").select("key", "node", "root", "members")
+        if step == 0:
+            heaviest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("members"), "key"))
+            rooted = rooted.withColumn("nth", heaviest).join(nodes.select("node", "spare"), "node").filter("nth > spare")
+    return rooted.select("node", "root").distinct()
+
+
+def rare_pairs(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share one of their rarest shingles: each set keeps a quarter of its shingles and one, by the number of these sets that have them."""
+    rows = sets.join(open_nodes, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = W.partitionBy("shingle")
+    rows = rows.withColumns({"members": F.count("*").over(each), "r0": F.min("root").over(each), "r1": F.max("root").over(each)})
+    nth = F.row_number().over(W.partitionBy("node").orderBy("members", "shingle"))
+    kept = cut(rows.withColumn("nth", nth).filter("nth <= n div 4 + 1 and r0 <> r1").select("shingle", "node", "root"), "rare")
+    a, b = (kept.select("shingle", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return a.join(b, "shingle").filter("root_a <> root_b and a < b").select("a", "b").distinct()
+
+
+def enough(pairs: DataFrame, slack: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share more keys (n) than the larger slack of their nodes, as the count of pigeons asks of linked ones."""
+    for side in ("a", "b"):
+        pairs = pairs.join(slack.select(F.col("node").alias(side), F.col("slack").alias(f"slack_{side}")), side)
+    return pairs.filter(F.col("n") > F.greatest("slack_a", "slack_b")).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node: root is the smallest node that links reach. Alternates large and small stars until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -194,21 +232,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     facts = cut(set_facts(docs, "_id", text_col), "facts")
     each = W.partitionBy("key")
     keys = emitted_keys(docs, text_col).withColumns({"low": F.min("node").over(each), "high": F.max("node").over(each), "members": F.count("*").over(each)})
-    shared = cut(keys.filter("low <> high").select("key", "node", "low", "members"), "shared")
+    shared = cut(keys.filter("low <> high").select("key", "node", "low", "members").dropDuplicates(["key", "node"]), "shared")
     nodes = cut(facts.filter("n_shingles > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in facts.columns if c not in ("_id", "node", "doc_key", "text_key")], F.min(F.struct("doc_key", "text_key")).alias("k")).select("*", "k.*").drop("k"), "nodes")
-    stars = cut(shared.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    slack = nodes.select("node", F.col("spare").alias("slack"))
+    stars = shared.filter("node <> low").groupBy(F.col("low").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    stars = cut(enough(stars, slack), "stars")
     links = cut(verified(stars, nodes, docs, text_col), "links")
     roots = components(links)
-    # keys whose members lie in different components
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    rest = rooted.join(mixed, "key", "left_semi").select("key", "node", "root", "members").distinct()
-    heavy = shared.filter(F.col("members") > HEAVY).groupBy("node").agg(F.countDistinct("key").alias("n_heavy"))
-    bound = heavy.join(nodes.select("node", "spare"), "node").filter("n_heavy > spare").select("node", F.lit(True).alias("bound"))
-    rest = cut(rest.join(bound, "node", "left").filter((F.col("members") <= HEAVY) | F.col("bound")).select("key", "node", "root"), "rest")
-    a, b = (rest.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = a.join(b, "key").filter("root_a <> root_b and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(verified(pairs, nodes, docs, text_col), "links")
+    left = cut(undecided(shared, roots, nodes), "undecided")
+    sets = sets_of_nodes(docs, nodes, left.select("node"), text_col)
+    more = cut(verified(rare_pairs(left, sets), nodes, docs, text_col), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return facts, roots
