@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import clauses, items, pairs, summary, tables
+from ..streaming import audit as audit_stream
 from .checks import joined, long
 from .derive import ctes, source
 
@@ -140,7 +141,20 @@ def similar_names(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_similarity(both, "a", "b", 0.8).filter("similarity >= 0.8").withColumn("similarity", F.round("similarity", 6))
 
 
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    """ST3 in batch form over the events."""
+    out = audit_stream.findings_by_window(source(spark, d, "events"), by="event_type")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """A4 over conversations: each is a report whose turns, from 0, are its numbers."""
+    rows = source(spark, d, "conversations").select(F.col("conv_id").alias("report_id"), (F.col("turn") + 1).cast("int").alias("position"), (F.col("turn") + 1).cast("string").alias("sequence_number"), *[F.lit("x").alias(c) for c in items.PAYLOAD])
+    return items.check_c09(rows).select("report_id", long("first_number"), long("last_number"), "n_numbers", joined("missing_numbers"), joined("duplicate_numbers"))
+
+
 QUERIES = {
+    "st3_hourly": hourly, "a4_turns": turns,
     "t2_header_rows": header_rows, "t5_column_roles": column_roles, "t7_fill_down": fill_down, "t9_parameter_records": parameter_records, "t10_structure_confidence": confidence, "a18_table_diagnostics": diagnostics,
     "t19_clauses": extract, "t20_dedup_clauses": dedup, "a15_clause_types": classify, "t21_table_refs": references, "t21_sub_items": markers, "j10_match_clauses": matched, "c1_compare_documents": compare,
     "a12_comparison_summary": compare_summary, "a17_promote_parents": promoted, "n18_constraints": constraints, "n14_dates": date_forms, "j17_exclude_ranges": exclusions, "n1_normalize": normalized, "n1_rule_audit": audit, "n3_symbols": symbols, "u1_similarity": similar_names,
@@ -163,6 +177,11 @@ best AS (SELECT ptr_id, number_str, text_content, row_number() OVER (PARTITION B
   first_value(page_no) OVER w AS page_no, first_value(line_no) OVER w AS line_no FROM clauses WINDOW w AS (PARTITION BY ptr_id, number_str ORDER BY page_no, line_no)),
 dd AS (SELECT ptr_id, number_str, text_content, page_no, line_no FROM best WHERE k = 1)"""
 SQL = {
+    "st3_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "a4_turns": """WITH b AS (SELECT conv_id, min(turn) + 1 AS lo, max(turn) + 1 AS hi, count(DISTINCT turn) AS n, list(DISTINCT turn + 1) AS ns FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS mis FROM (SELECT conv_id, ns, unnest(range(lo, hi + 1)) AS x FROM b) WHERE NOT list_contains(ns, x) GROUP BY conv_id),
+d AS (SELECT conv_id, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) AS dup FROM (SELECT conv_id, turn FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1) GROUP BY conv_id)
+SELECT conv_id AS report_id, CAST(lo AS BIGINT) AS first_number, CAST(hi AS BIGINT) AS last_number, n AS n_numbers, coalesce(mis, '') AS missing_numbers, coalesce(dup, '') AS duplicate_numbers FROM b LEFT JOIN m USING (conv_id) LEFT JOIN d USING (conv_id)""",
     "t2_header_rows": f"WITH {ctes('cells')}, {BODY} SELECT table_id, CAST(row_no AS BIGINT) AS row_no FROM headers",
     "a18_table_diagnostics": f"""WITH {ctes('cells')}, n AS (SELECT table_id, count(*) FILTER (row_no = 0 AND text = '') AS header_blanks, count(*) FILTER (row_no = 0) AS n_cols, count(*) FILTER (col_no = 0 AND row_no > 0 AND text = '') AS first_column_blanks,
  count(*) FILTER (col_no = 0 AND row_no > 0) AS n_rows FROM cells GROUP BY table_id) SELECT *, header_blanks * 2 > n_cols AS sparse_header, header_blanks * 2 > n_cols OR first_column_blanks * 2 > n_rows AS suspicious FROM n""",
