@@ -20,6 +20,7 @@ Keys are joined by shuffle. A pair is checked by the number of keys it shares, b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,14 +194,22 @@ def undecided(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def rare_pairs(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share one of their rarest shingles: each set keeps a quarter of its shingles and one, by the number of these sets that have them."""
+    """Pairs (a, b) of sets of different components that share one of their rarest shingles, by the number of these sets that have them.
+
+    Linked sets share o >= 3/7 (|A| + |B|) shingles, so the first that they share, in order of rarity, is among the first |A| - o + 1 of A and
+    |B| - o + 1 of B: a seventh and one of the smaller set, a quarter and one of the larger. They meet within classes of sizes.
+    """
     rows = sets.join(open_nodes, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     each = W.partitionBy("shingle")
     rows = rows.withColumns({"members": F.count("*").over(each), "r0": F.min("root").over(each), "r1": F.max("root").over(each)})
     nth = F.row_number().over(W.partitionBy("node").orderBy("members", "shingle"))
-    kept = cut(rows.withColumn("nth", nth).filter("nth <= n div 4 + 1 and r0 <> r1").select("shingle", "node", "root"), "rare")
-    a, b = (kept.select("shingle", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    return a.join(b, "shingle").filter("root_a <> root_b and a < b").select("a", "b").distinct()
+    kept = cut(rows.withColumn("nth", nth).filter("nth <= n div 4 + 1 and r0 <> r1").select("shingle", "node", "root", "n", "nth"), "rare")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + 1e-9)
+    named = lambda x, cls: kept.select("shingle", cls.alias("size_class"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "nth")])
+    small_side = named("a", F.explode(F.array(size_class, size_class + 1))).filter("nth_a <= n_a div 7 + 1")
+    within = "root_a <> root_b and (n_a < n_b or (n_a = n_b and node_a < node_b)) and 4 * n_a >= 3 * n_b and 7 * (n_a - nth_a + 1) >= 3 * (n_a + n_b) and 7 * (n_b - nth_b + 1) >= 3 * (n_a + n_b)"
+    pairs = small_side.join(named("b", size_class), ["shingle", "size_class"]).filter(within)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def enough(pairs: DataFrame, slack: DataFrame) -> DataFrame:
