@@ -244,6 +244,16 @@ def test_quality_rules(docs, empty):
     assert set(only) == set(quality_rules.BIT) and all(a >= b for a, b in only.values())
 
 
+def test_policy_without_repeated_lines(spark):
+    words = " ".join(f"word{k}" for k in range(126))
+    rows = [(1, f"{words}\nshort line\nshort line"), (2, words), (3, "few words\nfew words"), (4, words.upper() + "\nA B\nA B")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(by_id(quality_rules.keep_good(df))) == {2}
+    assert set(by_id(quality_rules.keep_good(df, "v2"))) == {1, 2}
+    assert by_id(quality_rules.quality_verdicts(df, "v2"))[1]["fail_bits"] == quality_rules.BIT["repeated_lines"]
+    assert set(r["rule"] for r in quality_rules.ablation(quality_rules.rule_ledger(df), "v2").collect()) == set(quality_rules.BIT) - {"repeated_lines"}
+
+
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(llm_queries.RANKS), "rb"))}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
