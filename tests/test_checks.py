@@ -153,6 +153,55 @@ def test_verdicts(spark):
     assert got == {"2.1": ("match", "exact"), "2.2": ("match", "numeric"), "2.3": ("missing", "missing")}
 
 
+CLAUSE = "ptr_id long, number array<int>, number_str string, text_content string, level int, page_no int, line_no int"
+ROW = "report_id long, position int, sequence_number string, inspection_project string, standard_clause string, standard_requirement string, test_result string"
+PAIR = "ptr_id long, report_id long"
+
+
+def clause_rows(spark, texts):
+    return spark.createDataFrame([(1, [int(x) for x in n.split(".")], n, t, n.count(".") + 1, 1, k) for k, (n, t) in enumerate(texts.items())], CLAUSE)
+
+
+def test_heading_equivalences(spark):
+    given = {  # number: clause, project, requirement, reason
+        "2.1": ("脉冲宽度误差要求，见表1", "甲", "脉冲宽度，见表2的规定", "table_reference"),
+        "2.2": ("绝缘电阻应见表1", "甲", "外壳强度应见表1", "differ"),
+        "2.3": ("2.3 起搏参数：脉冲宽度应符合表1中的数值", "甲", "脉冲宽度应符合表 1 中的数值，常规数值0.4，允许误差20", "table_parameter"),
+        "2.4": ("脉冲宽度应符合表1中的数值", "甲", "灵敏度应符合表1中的数值，常规数值2", "differ"),
+        "2.5": ("外观应当光滑没有毛刺啊", "外观应当光滑没有毛刺啊", "别的", "differ"),
+        "2.6": ("外观应当光滑没有毛刺", "外观应当光滑没有毛刺", "别的", "heading"),
+        "2.7": ("标志", "标志和说明", "别的", "differ"),
+    }
+    c = clause_rows(spark, {n: g[0] for n, g in given.items()})
+    i = spark.createDataFrame([(1, k, str(k), g[1], n, g[2], "/") for k, (n, g) in enumerate(given.items())], ROW)
+    pair = spark.createDataFrame([(1, 1)], PAIR)
+    got = {r["number_str"]: r["match_reason"] for r in clauses.compare_documents(c, i, pair, similarity=False).collect()}
+    assert got == {n: g[3] for n, g in given.items()}
+    loose = {r["number_str"]: r["match_reason"] for r in clauses.compare_documents(c, i, pair, strict=False, similarity=False).collect()}
+    assert loose["2.7"] == "heading"
+
+
+def test_scope(spark):
+    fields = spark.createDataFrame([(1, ["2.1.1~2.1.3、2.4", "2.5至2.6（详见另一份检测报告）", "2.7（除灭菌性能、包装）", "2.8 待补证", ""]), (2, ["全部项目，不包括标签"]), (3, None)], "report_id long, inspection_items array<string>")
+    rules = clauses.scope_rules(fields)
+    got = {(r["report_id"], r["rule_no"], tuple(r["lo"] or ()), tuple(r["hi"] or ()), r["status"], r["topic"]) for r in rules.collect()}
+    ext = "external_reference"
+    assert got == {
+        (1, 0, (2, 1, 1), (2, 1, 3), None, None), (1, 0, (2, 4), (2, 4), None, None), (1, 1, (2, 5), (2, 6), ext, None), (1, 2, (2, 7), (2, 7), None, None), (1, 3, (2, 8), (2, 8), "pending_evidence", None),
+        (1, 2, (), (), None, "灭菌性能"), (1, 2, (), (), None, "包装"), (2, 0, (), (), None, "标签"),
+    }
+    texts = {"2.1.2": "甲", "2.2.2": "甲", "2.4.1": "甲", "2.5": "甲", "2.6.1": "甲", "2.7": "应有灭菌性能并按规定的方法逐一验证", "2.7.1": "甲", "2.8": "甲", "2.9": "甲", "2.10": "标签应清楚", "2.11": "甲"}
+    c = clause_rows(spark, texts)
+    i = spark.createDataFrame([(1, 0, "1", "x", "条款2.11.1", "甲", "/")], ROW)
+    pair = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], PAIR)
+    at = {(r["report_id"], r["number_str"]): (r["in_scope"], r["rule_status"]) for r in clauses.resolve_scope(c, rules, i, pair).collect()}
+    want = {"2.1.2": (True, None), "2.2.2": (False, None), "2.4.1": (True, None), "2.5": (True, ext), "2.6.1": (True, ext), "2.7": (False, None), "2.7.1": (True, None), "2.8": (True, "pending_evidence"), "2.9": (False, None), "2.10": (False, None), "2.11": (True, None)}
+    assert {n: v for (r, n), v in at.items() if r == 1} == want
+    assert {n: v for (r, n), v in at.items() if r == 2} == {n: (n != "2.10", None) for n in texts} and all(at[3, n] == (True, None) for n in texts)
+    out = {r["number_str"]: (r["result"], r["comparison_status"]) for r in clauses.compare_documents(c, i, pair.filter("report_id = 1"), rules, similarity=False).collect()}
+    assert out["2.5"] == ("match", ext) and out["2.7"] == ("excluded", None) and out["2.4.1"] == ("missing", None)
+
+
 def test_summary(spark):
     f = spark.createDataFrame([(1, "C01", None, "a", "warning", "", ""), (1, "C01", None, "b", "pass", "", ""), (1, "C09", None, None, "error", "", "")], "report_id long, check_id string, entity string, field string, status string, source_a string, source_b string")
     assert {r["check_id"]: r["status"] for r in summary.summarize_checks(f).collect()} == {"C01": "warning", "C09": "error"}
