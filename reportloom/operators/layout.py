@@ -45,9 +45,22 @@ def page_headers(pages: DataFrame, blocks: DataFrame, share: float = 0.15) -> Da
     return pages.join(text, [*PAGE], "left").withColumn("header_class", known).drop("_t")
 
 
+def blocks_with_keys(blocks: DataFrame, keys: DataFrame, few: int = 1000) -> DataFrame:
+    """blocks with each key that their text contains. At most `few` keys are broadcast; more meet the texts by their first two characters."""
+    holds = F.contains("text", "key")
+    if keys.limit(few + 1).count() <= few:
+        return blocks.join(F.broadcast(keys), holds)
+    text = F.col("text")
+    places = F.sequence(F.lit(1), F.length(text))
+    one, two = (F.transform(places, f) for f in (lambda i: F.substring(text, i, F.lit(1)), lambda i: F.substring(text, i, F.lit(2))))
+    pieces = F.when(F.length(text) > 0, F.concat(one, two)).otherwise(F.array().cast("array<string>"))
+    cut = blocks.filter("text is not null").withColumn("_head", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))))
+    return cut.join(keys.withColumn("_head", F.substring("key", 1, 2)), "_head").filter(holds).drop("_head")
+
+
 def nearest_value(blocks: DataFrame, keys: DataFrame, right: float = 50.0, down: float = 100.0) -> DataFrame:
     """For each key block (its text has the key): the nearest block more than `right` to the right and less than `down` apart in height, else the next block. keys: key."""
-    named = blocks.join(F.broadcast(keys.limit(1000)), F.contains(blocks["text"], keys["key"]))
+    named = blocks_with_keys(blocks, keys.select("key").distinct())
     b = blocks.select(*PAGE, F.col("block_no").alias("v_no"), F.col("x0").alias("vx"), F.col("y0").alias("vy"), F.col("text").alias("value"))
     pairs = named.join(b, [*PAGE]).filter("v_no <> block_no")
     beside = (F.col("vx") - F.col("x0") > right) & (F.abs(F.col("vy") - F.col("y0")) < down)

@@ -17,6 +17,17 @@ def test_regions_and_numbers(spark):
     assert layout.page_headers(pages, blocks).filter("report_id = 1").first()["header_class"] is None
 
 
+def test_nearest_value_of_many_keys(spark):
+    n = 1200
+    names = [f"{chr(0x4E00 + k % 40)}名{k}号" for k in range(n)]
+    rows = [x for k, t in enumerate(names) for x in ((k, 1, 1, f"第 {t}：", 10.0, 200.0, 40.0, 210.0), (k, 1, 2, f"V-{k}", 100.0, 205.0, 140.0, 215.0))]
+    rows += [(n, 1, 1, "the Z:", 10.0, 200.0, 40.0, 210.0), (n, 1, 2, "one", 100.0, 205.0, 140.0, 215.0), (n + 1, 1, 1, None, 10.0, 200.0, 40.0, 210.0), (n + 2, 1, 1, "", 10.0, 200.0, 40.0, 210.0)]
+    blocks = spark.createDataFrame(rows, "report_id long, page_no int, block_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    keys = spark.createDataFrame([(t,) for t in [*names, "Z", "不在"]], "key string")
+    got = {(r["report_id"], r["key"]): r["value"] for r in layout.nearest_value(blocks, keys).collect()}
+    assert got == {(k, t): f"V-{k}" for k, t in enumerate(names)} | {(n, "Z"): "one"}
+
+
 def test_multiline(spark):
     pages = spark.createDataFrame([(1, 1, "名称：甲\n乙丙\n型号 X")], "report_id long, page_no int, raw_text string")
     assert layout.multiline_value(pages, "名称", "型号|批号").first()["value"] == "甲乙丙"
