@@ -81,7 +81,7 @@ def own_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def matched(spark: SparkSession, d: str) -> DataFrame:
     rows = source(spark, d, "inspection_items")
-    out = clauses.match_clauses(clauses.dedup_clauses(extracted(spark, d)), rows, own_pairs(spark, d), similarity=False)
+    out = clauses.match_clauses(clauses.dedup_clauses(extracted(spark, d)), rows, own_pairs(spark, d))
     return out.select("ptr_id", "report_id", "number_str", long("position"), long("tier"))
 
 
@@ -99,7 +99,7 @@ def compare_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def promoted(spark: SparkSession, d: str) -> DataFrame:
-    out = clauses.promote_parents(clauses.compare_documents(clauses.dedup_clauses(extracted(spark, d)), source(spark, d, "inspection_items"), own_pairs(spark, d), similarity=False))
+    out = clauses.promote_parents(clauses.compare_documents(clauses.dedup_clauses(extracted(spark, d)), source(spark, d, "inspection_items"), own_pairs(spark, d)))
     return out.select("ptr_id", "report_id", "number_str", "result", "promoted")
 
 

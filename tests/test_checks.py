@@ -1,5 +1,8 @@
 """Checks on literal fixtures, and every query with SQL against DuckDB on the smallest tables."""
 
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from compare import oracle_rows, spark_rows
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from reportloom import registry
 from reportloom.functions import text
 from reportloom.operators import clauses, items, matching, pages, pairs, summary, tables
+from reportloom.plans import documents
 
 SF = "/root/testdata/sf0.001"
 ITEM = "report_id long, position int, sequence_number string, inspection_project string, standard_clause string, standard_requirement string, test_result string, item_conclusion string, remark string, source_page int, row_index_in_page int"
@@ -202,6 +206,47 @@ def test_scope(spark):
     assert out["2.5"] == ("match", ext) and out["2.7"] == ("excluded", None) and out["2.4.1"] == ("missing", None)
 
 
+def test_match_tiers(spark, monkeypatch):
+    texts = {"2.1": "甲要求", "2.2": "乙要求", "2.3.1": "丙要求", "2.4": "丁要求", "2.5.1.1": "戊要求", "2.6": "外壳应光滑无毛刺", "2.7": "完全没有对应的一行"}
+    given = [("1", "x", "2.1", "a"), ("2.2", "x", "", "b"), ("3", "x", "2.3", "c"), ("4", "x", "", "见2.4所列"), ("5", "x", "第2.5", "d"), ("5", "x", "2.5", "e"), ("6", "", "", "外壳应光滑无毛刺刺"), ("7", "", "", "外壳不光滑")]
+    c = clause_rows(spark, texts)
+    i = spark.createDataFrame([(1, k, seq, proj, cl, req, "/") for k, (seq, proj, cl, req) in enumerate(given)], ROW)
+
+    def brute(n, text_):
+        found = []
+        for k, (seq, proj, cl, req) in enumerate(given):
+            dotted = re.fullmatch(r"\d+(\.\d+)*", cl) is not None
+            if cl == n:
+                found.append((1, -1.0, k))
+            if seq == n and "." in seq:
+                found.append((2, -1.0, k))
+            if dotted and (n.startswith(cl) or cl.startswith(n)):
+                found.append((3, -1.0, k))
+            if n in req:
+                found.append((4, -4.0, k))
+            if cl and n.startswith(cl + "."):
+                found.append((5, -float(len(cl)), k))
+            if not re.search(r"\d+\.\d+", cl):
+                score = SequenceMatcher(None, text_, proj + req, autojunk=False).ratio() + (0.2 if text_ in proj + req or proj + req in text_ else 0)
+                if score >= 0.55:
+                    found.append((6, -score, k))
+        return min(found)[::2] if found else (None, None)
+
+    want = {n: brute(n, t) for n, t in texts.items()}
+    assert {t for t, _ in want.values()} >= {1, 2, 3, 4, 6, None}
+    own = spark.createDataFrame([(1, 1)], PAIR)
+    assert {r["number_str"]: (r["tier"], r["position"]) for r in clauses.match_clauses(c, i, own).collect()} == want
+    # a parent's column that is no plain number prefix: tier 5
+    named = spark.createDataFrame([(1, 0, "1", "x", "A.5", "d", "/"), (1, 1, "2", "x", "A.5.1", "e", "/")], ROW)
+    deep = spark.createDataFrame([(1, [5, 1, 1], "A.5.1.1", "戊要求", 3, 1, 0)], CLAUSE)
+    assert tuple(clauses.match_clauses(deep, named, own).select("tier", "position").first()) == (5, 1)
+    # the registered queries use all tiers
+    monkeypatch.setattr(documents, "extracted", lambda spark, d: c)
+    monkeypatch.setattr(documents, "source", lambda spark, d, name: i)
+    monkeypatch.setattr(documents, "own_pairs", lambda spark, d: own)
+    assert {r["number_str"]: (r["tier"], r["position"]) for r in documents.matched(spark, "").collect()} == want
+
+
 def test_summary(spark):
     f = spark.createDataFrame([(1, "C01", None, "a", "warning", "", ""), (1, "C01", None, "b", "pass", "", ""), (1, "C09", None, None, "error", "", "")], "report_id long, check_id string, entity string, field string, status string, source_a string, source_b string")
     assert {r["check_id"]: r["status"] for r in summary.summarize_checks(f).collect()} == {"C01": "warning", "C09": "error"}
