@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +50,13 @@ def packed(df: DataFrame, *more: Column | str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, a cut table of narrow rows, marked for broadcast if it has at most so many rows; beyond that joins shuffle it."""
-    return F.broadcast(df) if df.count() <= rows else df
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a cut table, marked for broadcast if its values, as Spark holds them, take at most so many bytes; beyond that joins shuffle it."""
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else 8 * F.coalesce(F.size(f.name), F.lit(0)) if f.dataType.typeName() == "array" else F.lit(0) for f in df.schema), F.lit(16 + 8 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
 
 
 def release(spark: SparkSession) -> None:
@@ -60,6 +65,11 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row; a fold over it does not carry it along."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

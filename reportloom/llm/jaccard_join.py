@@ -30,27 +30,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import cut, document_key, packed, small, text_of
-from .textnum import ODD, SOLID, U, blocks, mix, sequence_hash
+from .textnum import ODD, SOLID, U, Block, blocks, mix, sequence_hash
 
 SHINGLE = 5
 BAND = 4  # a band's largest size is so many times its smallest
 LEAST_PARTS = 256
 SPARE = 8  # x is the size over this
+SALTS = 16  # parts of a key that very many sets have
+HOT_SHARE = 2_000  # such a key is in one of so many sets, or more
 LONGS = 8  # of the 512-bit sketch
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each text of the column the sorted distinct hashes of its shingles; one of all words if it has fewer, none without words."""
+def block_sets(block: Block, size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text of the block the sorted distinct hashes of its shingles; one of all words if it has fewer, none without words."""
+    words = block.lowered().words(SOLID)
+    h = words.hashes()
+    whole = sequence_hash(h, np.arange(max(0, len(h) - size + 1)), size)
+    sets = []
+    for i in range(block.n):
+        first, n = int(words.first[i]), int(words.count[i])
+        if n >= size:
+            sets.append(np.unique(whole[first : first + n - size + 1]))
+        else:
+            sets.append(sequence_hash(h, np.array([first]), n) if n else np.zeros(0, dtype=np.uint64))
+    return sets
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     for block in blocks(column):
-        words = block.lowered().words(SOLID)
-        h = words.hashes()
-        whole = sequence_hash(h, np.arange(max(0, len(h) - size + 1)), size)
-        for i in range(block.n):
-            first, n = int(words.first[i]), int(words.count[i])
-            if n >= size:
-                yield np.unique(whole[first : first + n - size + 1])
-            else:
-                yield sequence_hash(h, np.array([first]), n) if n else np.zeros(0, dtype=np.uint64)
+        yield from block_sets(block)
 
 
 def allowance(n: int) -> tuple[int, int]:
@@ -96,25 +104,60 @@ def parity_sketch(s: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-FACTS = "n_shingles int, node long, spare int, " + ", ".join(f"p{i} long" for i in range(LONGS))
+SKETCH = [f"p{i}" for i in range(LONGS)]
+FACTS = "n_shingles int, node long, spare int, " + ", ".join(f"{p} long" for p in SKETCH) + ", frequent array<struct<key:long,n:int>>"
+
+
+def frequent_keys(keys: list[np.ndarray]) -> list[dict]:
+    """Keys that a twentieth of these sets, and sixteen of them or more, have, and how many have them."""
+    if len(keys) < 16:
+        return []
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    often = n >= max(16, len(keys) // 20)
+    return [{"key": k, "n": c} for k, c in zip(key[often].view(np.int64).tolist(), n[often].tolist(), strict=True)]
 
 
 def set_facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: its id, keys, and its set's size, node, spare and parity sketch."""
+    """One row a document: its id, keys, and its set's size, node, spare and parity sketch. The first row of a block of texts also has the block's frequent keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), node_of(s), min((part_keys(s, b)[1] for b in bands(len(s))), default=0) if len(s) else 0, *parity_sketch(s)) for s in shingle_sets(batch.column(1))]
+            rows, frequent = [], []
+            for block in blocks(batch.column(1)):
+                fresh: dict[int, np.ndarray] = {}
+                for s in block_sets(block):
+                    each, node = [part_keys(s, b) for b in bands(len(s))] if len(s) else [], node_of(s)
+                    if each:
+                        fresh[node] = np.concatenate([k for k, _ in each])
+                    rows.append((len(s), node, min((x for _, x in each), default=0), *parity_sketch(s)))
+                frequent += [frequent_keys(list(fresh.values())), *[None] * (block.n - 1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (3 + LONGS)
             kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.int64()] * LONGS
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, "doc_key", "text_key", "n_shingles", "node", "spare", *[f"p{i}" for i in range(LONGS)]])
+            found = pa.array(frequent, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], found], [id_col, "doc_key", "text_key", "n_shingles", "node", "spare", *SKETCH, "frequent"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_of(text_col).alias("_text"), *document_key(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, doc_key long, text_key long, {FACTS}")
 
 
-def emitted_keys(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, node) of every set; copies within a task are emitted once."""
+def hot_keys(facts: DataFrame) -> np.ndarray:
+    """Keys that one of HOT_SHARE sets or more have, by the counts of the blocks in which they are frequent: at most HOT_SHARE times a set's keys."""
+    found = facts.select(F.explode("frequent").alias("f")).groupBy("f.key").agg(F.sum("f.n").alias("n"))
+    return np.sort(found.filter(F.col("n") >= facts.count() // HOT_SHARE).select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def emitted_keys(docs: DataFrame, text_col: str, hot: np.ndarray) -> DataFrame:
+    """(key, part, node) of every set; copies within a task are emitted once. Hot keys have several parts, which deal their nodes out, others -1."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def batch_of(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in keys])
+        part = np.full(len(key), -1, dtype=np.int32)
+        if len(shared.value):
+            at = np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)
+            is_hot = shared.value[at] == key
+            part[is_hot] = node[is_hot] & (SALTS - 1)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), pa.array(node)], ["key", "part", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -128,15 +171,29 @@ def emitted_keys(docs: DataFrame, text_col: str) -> DataFrame:
                 for b in bands(len(s)):
                     k = part_keys(s, b)[0]
                     keys.append(k)
-                    nodes.append(np.full(len(k), node, dtype=np.int64))
+                    nodes.append(node)
                     size += len(k)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    yield batch_of(keys, nodes)
                     keys, nodes, size = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                yield batch_of(keys, nodes)
+
+    return docs.select(text_of(text_col).alias("_text")).mapInArrow(run, "key long, part int, node long")
 
-    return docs.select(text_of(text_col).alias("_text")).mapInArrow(run, "key long, node long")
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, node, low, members) of the keys that several nodes have: low is the smallest of them, members their number.
+
+    A key's nodes meet in one window; a hot key's parts are dealt out as keys of their own, and their extremes are then put together.
+    """
+    each = W.partitionBy("key", "part")
+    found = keys.withColumns({"low": F.min("node").over(each), "high": F.max("node").over(each), "members": F.count("*").over(each)})
+    found = cut(found.filter("part >= 0 or low <> high").dropDuplicates(["key", "part", "node"]), "shared")
+    hot = small(cut(found.filter("part >= 0").groupBy("key").agg(F.min("low").alias("hot_low"), F.max("high").alias("hot_high"), F.count("*").alias("hot_members")), "hot"))
+    met = found.join(hot, "key", "left")
+    whole = [F.coalesce(f"hot_{c}", c).alias(c) for c in ("low", "high", "members")]
+    return met.select("key", "node", *whole).filter("low <> high").select("key", "node", "low", "members")
 
 
 def sets_of(docs: DataFrame, text_col: str) -> DataFrame:
@@ -164,13 +221,14 @@ def sets_of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col
     return cut(sets_of(chosen, text_col).dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose sets have a Jaccard index of 3/4 or more."""
-    facts = nodes.select("node", "n_shingles", *[f"p{i}" for i in range(LONGS)])
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, sets: DataFrame | None = None) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose sets have a Jaccard index of 3/4 or more. sets: sets_of_nodes of them, read from docs if not given."""
+    facts = nodes.select("node", "n_shingles", *SKETCH)
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in facts.columns[1:]]), side)
     pairs = cut(pairs.filter(close_enough()).select("a", "b"), "pairs")
-    sets = sets_of_nodes(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text_col)
+    if sets is None:
+        sets = sets_of_nodes(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text_col)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -181,29 +239,52 @@ def undecided(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
     """(node, root) of the sets that may be linked with one of another component.
 
     Sets of two components share keys that members of both have. Each set leaves out the `spare` of these with most members: of the more
-    than `spare` keys that linked sets share, the one with fewest members is left out by neither.
+    than `spare` keys that linked sets share, the one with fewest members is left out by neither. A key's roots are compared by a partial
+    aggregate, so a key that very many sets have goes through no single task.
     """
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "root", "members")
     for step in range(2):
-        each = W.partitionBy("key")
-        rooted = rooted.withColumns({"r0": F.min("root").over(each), "r1": F.max("root").over(each)}).filter("r0 <> r1").select("key", "node", "root", "members")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+        rooted = rooted.join(small(cut(mixed, "mixed")), "key", "left_semi")
         if step == 0:
             heaviest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("members"), "key"))
-            rooted = rooted.withColumn("nth", heaviest).join(nodes.select("node", "spare"), "node").filter("nth > spare")
+            rooted = cut(rooted.withColumn("nth", heaviest).join(nodes.select("node", "spare"), "node").filter("nth > spare").select("key", "node", "root"), "lighter")
     return rooted.select("node", "root").distinct()
 
 
-def rare_pairs(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def met_shingles(sets: DataFrame) -> DataFrame:
+    """(node, shingle, members) of the shingles that several of these sets have; members is their number."""
+    rows = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1")
+    return cut(rows.join(shared, "shingle"), "met")
+
+
+def hub_pairs(open_nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each open set with the most central set that has one of its shingles, where that is of another component.
+
+    A set is the more central the more sets have its shingles, on average: in a family of near copies that is the one with fewest edits, to which
+    most of the others are linked. So a family becomes one component by as many pairs as it has members, times the hubs of its shingles.
+    """
+    central = met.groupBy("node").agg(F.sum("members").alias("m")).join(open_nodes, "node").select("node", "root", (F.col("m") / F.col("n")).alias("central"))
+    central = small(cut(central, "central"))
+    hub = met.join(central, "node").groupBy("shingle").agg(F.max(F.struct("central", "node", "root")).alias("hub")).select("shingle", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+    pairs = met.select("node", "shingle").join(hub, "shingle").filter("node <> hub").select("node", "hub", "hub_root").distinct().join(central, "node").filter("root <> hub_root")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def rare_pairs(open_nodes: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of different components that share one of their rarest shingles, by the number of these sets that have them.
 
     Linked sets share o >= 3/7 (|A| + |B|) shingles, so the first that they share, in order of rarity, is among the first |A| - o + 1 of A and
-    |B| - o + 1 of B: a seventh and one of the smaller set, a quarter and one of the larger. They meet within classes of sizes.
+    |B| - o + 1 of B: a seventh and one of the smaller set, a quarter and one of the larger. They meet within classes of sizes. Shingles that only
+    one component has come first in that order, and their number is all that is needed of them.
     """
-    rows = sets.join(open_nodes, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    each = W.partitionBy("shingle")
-    rows = rows.withColumns({"members": F.count("*").over(each), "r0": F.min("root").over(each), "r1": F.max("root").over(each)})
-    nth = F.row_number().over(W.partitionBy("node").orderBy("members", "shingle"))
-    kept = cut(rows.withColumn("nth", nth).filter("nth <= n div 4 + 1 and r0 <> r1").select("shingle", "node", "root", "n", "nth"), "rare")
+    open_nodes = small(cut(open_nodes, "roots"))
+    mixed = met.join(open_nodes, "node").groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("shingle")
+    each = W.partitionBy("node")
+    rows = met.join(mixed, "shingle", "left_semi").withColumns({"k": F.row_number().over(each.orderBy("members", "shingle")), "in_all": F.count("*").over(each)})
+    rows = rows.join(open_nodes, "node").withColumn("nth", F.col("n") - F.col("in_all") + F.col("k"))
+    kept = cut(rows.filter("nth <= n div 4 + 1").select("shingle", "node", "root", "n", "nth"), "rare")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + 1e-9)
     named = lambda x, cls: kept.select("shingle", cls.alias("size_class"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "nth")])
     small_side = named("a", F.explode(F.array(size_class, size_class + 1))).filter("nth_a <= n_a div 7 + 1")
@@ -219,6 +300,12 @@ def enough(pairs: DataFrame, slack: DataFrame) -> DataFrame:
     return pairs.filter(F.col("n") > F.greatest("slack_a", "slack_b")).select("a", "b")
 
 
+def dealt(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the m of their u. A hub's edges are dealt out by the other end; least, a row a node, goes to each of the SALTS parts."""
+    part = F.pmod(F.xxhash64("v"), F.lit(SALTS))
+    return edges.withColumn("part", part).join(least.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))), ["u", "part"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node: root is the smallest node that links reach. Alternates large and small stars until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -228,9 +315,9 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = dealt(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        star = dealt(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(star.filter("u <> v").distinct(), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -239,20 +326,22 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     """One row a document (id, keys, n_shingles, node), and (node, root) of the nodes that are linked with others."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col))
     facts = cut(set_facts(docs, "_id", text_col), "facts")
-    each = W.partitionBy("key")
-    keys = emitted_keys(docs, text_col).withColumns({"low": F.min("node").over(each), "high": F.max("node").over(each), "members": F.count("*").over(each)})
-    shared = cut(keys.filter("low <> high").select("key", "node", "low", "members").dropDuplicates(["key", "node"]), "shared")
-    nodes = cut(facts.filter("n_shingles > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in facts.columns if c not in ("_id", "node", "doc_key", "text_key")], F.min(F.struct("doc_key", "text_key")).alias("k")).select("*", "k.*").drop("k"), "nodes")
+    hot = hot_keys(facts)
+    shared = shared_keys(emitted_keys(docs, text_col, hot))
+    nodes = cut(facts.filter("n_shingles > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "spare", *SKETCH)], F.min(F.struct("doc_key", "text_key")).alias("k")).select("*", "k.*").drop("k"), "nodes")
     slack = nodes.select("node", F.col("spare").alias("slack"))
     stars = shared.filter("node <> low").groupBy(F.col("low").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
     stars = cut(enough(stars, slack), "stars")
     links = cut(verified(stars, nodes, docs, text_col), "links")
     roots = components(links)
-    left = cut(undecided(shared, roots, nodes), "undecided")
+    left = cut(undecided(shared, roots, nodes).join(nodes.select("node", F.col("n_shingles").alias("n")), "node"), "undecided")
     sets = sets_of_nodes(docs, nodes, left.select("node"), text_col)
-    more = cut(verified(rare_pairs(left, sets), nodes, docs, text_col), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    met = met_shingles(sets)
+    for find in (hub_pairs, rare_pairs):
+        more = cut(verified(find(left, met), nodes, docs, text_col, sets), "links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            left = left.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     return facts, roots
 
 
