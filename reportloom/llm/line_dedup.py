@@ -11,10 +11,10 @@ is first reduced to its first place within each task, and its places meet that b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_key, small, text_of
+from .common import cut, document_key, let, packed, settled, small, text_of
 
 LINES = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -22,19 +22,23 @@ EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def line_windows(df: DataFrame, id_col: str, text_col: str, lines: int = LINES) -> DataFrame:
-    """doc_key, text_key, _id, at (index among the lines with a word), n (lines in the window) and window (two hashes)."""
+    """doc_key, text_key, id, at (index among the lines with a word), n (lines in the window) and window (two hashes, w0 and w1)."""
     solid = F.filter(F.split(text_of(text_col), "\n", -1), lambda x: F.rlike(x, F.lit(HAS_WORD)))
-    slim = df.select(F.col(id_col).alias("_id"), *document_key(id_col, text_col), F.transform(solid, lambda x: F.xxhash64(F.regexp_replace(x, EDGES, ""))).alias("_h"))
-    slim = slim.filter(F.size("_h") > 0).withColumn("n", F.least(F.size("_h"), F.lit(lines)))
-    starts = slim.select("_id", "doc_key", "text_key", "n", "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - F.col("n"))).alias("at"))
-    part = F.slice("_h", F.col("at") + 1, F.col("n"))
-    return starts.select("_id", "doc_key", "text_key", "at", "n", F.xxhash64(part).alias("w0"), F.hash(part).alias("w1"))
+    hashes = F.transform(solid, lambda x: F.xxhash64(F.regexp_replace(x, EDGES, "")))
+
+    def windows(h: Column) -> Column:
+        n = F.least(F.size(h), F.lit(lines))
+        one = lambda i: let(F.slice(h, i + 1, n), lambda part: F.struct(i.alias("at"), n.alias("n"), F.xxhash64(part).alias("w0"), F.hash(part).alias("w1")))
+        return F.transform(F.sequence(F.lit(0), F.size(h) - n), one)
+
+    found = let(F.filter(F.array(hashes), lambda h: F.size(h) > 0), lambda one: F.flatten(F.transform(one, windows)))
+    return df.select(F.col(f"`{id_col}`").alias("id"), *document_key(id_col, text_col), F.explode(found).alias("w")).select("id", "doc_key", "text_key", "w.*")
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
     """doc_key, text_key and covered: the sorted indices, among a document's lines with a word, of those that repeat an earlier place."""
     windows = line_windows(df, id_col, text_col, lines)
-    place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("doc_key").alias("doc_key"), F.col("text_key").alias("text_key"), F.col("at").alias("at"))
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("doc_key").alias("doc_key"), F.col("text_key").alias("text_key"), F.col("at").alias("at"))
     first = windows.groupBy("w0", "w1").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first <> final").select("w0", "w1", "first")
     repeats = windows.withColumn("place", place).join(first, ["w0", "w1"]).filter("place <> first")
     covered = repeats.groupBy("doc_key", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
@@ -46,40 +50,42 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """df with the text's repeated lines removed, n_lines (lines with a word before) and n_removed.
 
     Lines without a word stay where they are. Null texts stay null and, like empty ones, have no lines. Rows that repeat an id and a text are one
-    document: its first places are theirs, so they keep the same lines. Null ids come after all others. Columns named n_lines or n_removed are replaced.
+    document: its first places are theirs, so they keep the same lines. Null ids come after all others. An empty table gives none. Columns named n_lines
+    or n_removed are replaced, all others kept, whatever their names.
     """
-    marks = small(cut(repeated_lines(df, id_col, text_col, lines), "lines"), 200_000)
-    keyed = df.withColumns(dict(zip(("_doc_key", "_text_key"), document_key(id_col, text_col), strict=True)))
-    marks = marks.select(F.col("doc_key").alias("_doc_key"), F.col("text_key").alias("_text_key"), F.col("covered").alias("_covered"))
-    out = keyed.join(marks, ["_doc_key", "_text_key"], "left")
-    split = F.split(text_of(text_col), "\n", -1)
-    # walk over the lines with the index of the next covered one; kept lines are joined again
+    marks = small(cut(repeated_lines(df, id_col, text_col, lines), "lines"))
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")])
+    out = packed(rest, F.col(f"`{text_col}`").alias("t"), *document_key(id_col, text_col)).join(marks, ["doc_key", "text_key"], "left")
     has_word = lambda x: F.rlike(x, F.lit(HAS_WORD))
-    rank = F.aggregate(
-        split,
-        F.struct(F.lit(0).alias("line"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("kept")),
-        lambda a, x: F.struct(
-            (a["line"] + has_word(x).cast("int")).alias("line"),
-            (a["next"] + (has_word(x) & (F.get("_covered", a["next"]) == a["line"])).cast("int")).alias("next"),
-            F.when(has_word(x) & F.coalesce(F.get("_covered", a["next"]) == a["line"], F.lit(False)), a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"),
-        ),
-    )
-    out = out.withColumn("n_lines", F.size(F.filter(split, has_word)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_covered"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(rank["kept"], "\n"))).drop("_doc_key", "_text_key", "_covered")
+    solid = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull())  # noqa: E731  places of the lines with a word
+
+    def left(ls: Column, solid: Column) -> Column:
+        """The lines whose places are not those of covered ones, joined again."""
+        kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform("covered", lambda c: F.get(solid, c)))
+        return let(kept, lambda ks: F.array_join(F.transform(ks, lambda i: F.get(ls, i)), "\n"))
+
+    text = F.when(F.col("covered").isNull(), F.struct(F.col("t").alias("text"), F.size(solid(F.split(text_of("t"), "\n", -1))).alias("n")))
+    text = text.otherwise(let(F.split(text_of("t"), "\n", -1), lambda ls: let(solid(ls), lambda s: F.struct(left(ls, s).alias("text"), F.size(s).alias("n")))))
+    made = {"made": text, "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long")}
+    out = settled(out, made, ["t", "doc_key", "text_key", "covered"])
+    return out.select(F.col("_row").withField(f"`{text_col}`", F.col("made.text")).alias("_row"), F.col("made.n").cast("long").alias("n_lines"), "n_removed").select("_row.*", "n_lines", "n_removed")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated lines removed, without documents of which no word is left; n_chars, where there is one, follows the text."""
-    work = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """docs with the repeated lines removed, without documents of which no word is left; n_chars, where there is one, follows the text.
+
+    Documents that had no word before, null texts among them, stay.
+    """
+    work = packed(docs, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
     left = dedup_lines(work, "id", "t").filter((F.col("n_removed") == 0) | F.rlike("t", F.lit(HAS_WORD)))
-    row = F.col("_row").withField(text_col, F.col("t"))
+    row = F.col("_row").withField(f"`{text_col}`", F.col("t"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.length("t").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
     return left.select(row.alias("_row")).select("_row.*")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, text (what is left), n_lines and n_removed of every document."""
+    """doc_id, text (what is left), n_lines and n_removed of every document; of a null text null, 0 and 0."""
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.col("text"))
 
 
