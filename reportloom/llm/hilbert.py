@@ -1,18 +1,21 @@
 """Sharding by a Hilbert curve over several metadata dimensions (operator 5).
 
-Each dimension is quantised to the same number of bits, the cell's index on the curve orders the rows, and the order is
-cut into runs of equal row counts. Neighbours on the curve are neighbours in every dimension, so each shard's minimum and
-maximum (zone_map) let a reader skip files by any of them.
+Each dimension is quantised to the same number of bits at its quantiles, so cells keep its order and hold like numbers of
+rows. The cell's index on the curve orders the rows, and the order is cut into runs of equal row counts. Neighbours on the
+curve are neighbours in every dimension, so each shard's minimum and maximum (zone_map) let a reader skip files by any of
+them.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import cut, text_of
+from .common import cut, packed, small, text_of
 
 ROW_BITS = 33  # monotonically_increasing_id keeps a row's place in its partition in the low 33 bits
 
@@ -59,34 +62,53 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["index"]
 
 
-def quantise(kind: str, col: Column, low: float, high: float, bits: int) -> Column:
-    """A number to 2^bits equal steps of its logarithm ("log") or of its value ("linear") between the extremes; other values by hash ("hash"). Null: 0."""
-    top = (1 << bits) - 1
-    if kind == "hash":
-        return F.coalesce(F.pmod(F.xxhash64(col.cast("string")), F.lit(top)) + 1, F.lit(0)).cast("int")
-    scale = (lambda c: F.log2(c.cast("double") - low + 1)) if kind == "log" else (lambda c: c.cast("double") - low)
-    span = scale(F.lit(high))
-    return F.coalesce(F.when(span > 0, F.least(F.floor(scale(col) / span * (top + 1)), F.lit(top))).otherwise(0), F.lit(0)).cast("int")
+PREFIX = 7  # bytes of a string that make its number
 
 
-def hilbert_shards(df: DataFrame, dims: dict[str, str], tie: Sequence[str], shards: int = 40, bits: int = 7) -> DataFrame:
-    """df with hilbert, shard and slot: shards of row counts at most one apart, each a run of the curve.
+def prefix_number(col: Column, skip: int) -> Column:
+    """A string's PREFIX bytes after the first so many, as a number of the same order."""
+    return F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), skip + 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("long")
 
-    dims names the dimensions and how each is quantised (see quantise); tie orders rows of one cell. The rows are sorted by
-    range over all tasks and written once, so every row's place is its partition's offset plus its place in the partition;
-    only one count a partition comes to the driver. Rows alike in all these columns get consecutive places. An empty
-    table gives an empty result. Columns named hilbert, shard or slot are replaced.
+
+def dimension_numbers(df: DataFrame, dims: Sequence[str]) -> dict[str, Column]:
+    """A number for each dimension, in its order: a string's bytes that follow what all its values begin with. Only two values a string come to the driver."""
+    strings = [c for c in dims if isinstance(df.schema[c].dataType, StringType)]
+    ends = df.agg(*[f(F.col(f"`{c}`").cast("binary")).alias(f"{n}{i}") for i, c in enumerate(strings) for n, f in (("low", F.min), ("high", F.max))]).first() if strings else None
+    numbers = {c: F.col(f"`{c}`") for c in dims}
+    for i, c in enumerate(strings):
+        low, high = bytes(ends[f"low{i}"] or b""), bytes(ends[f"high{i}"] or b"")
+        numbers[c] = prefix_number(F.col(f"`{c}`"), len(os.path.commonprefix([low, high])))
+    return numbers
+
+
+def quantise(df: DataFrame, numbers: dict[str, Column], bits: int) -> list[Column]:
+    """Each number's cell among 2^bits: how many of its quantiles it reaches. A null is in cell 0. The quantiles, 2^bits - 1 a dimension, come to the driver."""
+    cells = 1 << bits
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    found = df.agg(*[F.percentile_approx(n.cast("double"), shares, F.lit(20 * cells)).alias(f"q{i}") for i, n in enumerate(numbers.values())]).first()
+    out = []
+    for i, n in enumerate(numbers.values()):
+        bounds = sorted(set(found[f"q{i}"] or []))
+        reached = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= n.cast("double"))) if bounds else F.lit(0)  # noqa: B023
+        out.append(F.when(n.isNull(), F.lit(0)).otherwise(reached).cast("int"))
+    return out
+
+
+def hilbert_shards(df: DataFrame, dims: Sequence[str], tie: Sequence[str], shards: int = 40, bits: int = 6) -> DataFrame:
+    """df with hilbert, shard and slot: shards of row counts at most one apart, each a run of the curve over dims (numbers or strings).
+
+    tie orders rows of one cell. The rows are sorted by range over all tasks and written once, so every row's place is its partition's offset plus its
+    place in the partition; only one count a partition comes to the driver. Rows alike in all these columns, repeated ones too, get consecutive places.
+    Nulls share the lowest cell. An empty table gives an empty result. Columns named hilbert, shard or slot are replaced, all others kept.
     """
-    numeric = [c for c, kind in dims.items() if kind != "hash"]
-    ends = df.agg(*[f(F.col(f"`{c}`")).cast("double").alias(f"{n}{i}") for i, c in enumerate(numeric) for n, f in (("low", F.min), ("high", F.max))]).first() if numeric else {}
-    span = {c: (ends[f"low{i}"] or 0.0, ends[f"high{i}"] or 0.0) for i, c in enumerate(numeric)}
-    cells = [quantise(kind, F.col(f"`{c}`"), *span.get(c, (0.0, 0.0)), bits) for c, kind in dims.items()]
-    placed = df.withColumns({f"_cell{i}": c for i, c in enumerate(cells)})
-    placed = placed.withColumn("hilbert", hilbert_index([F.col(f"_cell{i}") for i in range(len(cells))], bits)).drop(*[f"_cell{i}" for i in range(len(cells))])
-    order = ["hilbert", *tie]
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("hilbert", "shard", "slot")])
+    cells = quantise(df, dimension_numbers(df, dims), bits)
+    work = packed(df, *[c.alias(f"cell{i}") for i, c in enumerate(cells)], *[F.col(f"`{c}`").alias(f"tie{i}") for i, c in enumerate(tie)])
+    placed = work.withColumn("hilbert", hilbert_index([F.col(f"cell{i}") for i in range(len(cells))], bits))
+    order = ["hilbert", *[f"tie{i}" for i in range(len(tie))]]
     parts = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranked = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), "hilbert")
+    ranked = cut(ranged.select("_row", "hilbert", F.monotonically_increasing_id().alias("_at")), "hilbert")
     part = F.shiftrightunsigned("_at", ROW_BITS)
     counts = {r["p"]: r["n"] for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     total, offsets = 0, {}
@@ -99,20 +121,26 @@ def hilbert_shards(df: DataFrame, dims: dict[str, str], tie: Sequence[str], shar
     shard = F.expr(f"(_rank * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     out = ranked.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long"))
-    return out.drop("_at", "_rank")
+    return out.select("_row.*", "hilbert", "shard", "slot")
 
 
 def zone_map(sharded: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Each shard's rows and the extremes of each dimension, for pruning files."""
+    """Each shard's rows and the extremes of each dimension, for pruning files: a filter on a dimension needs no shard whose extremes exclude it. Nulls count for no extreme."""
     return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), *[f(F.col(f"`{c}`")).alias(f"{n}_{c}") for c in dims for n, f in (("min", F.min), ("max", F.max))])
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """Place documents on the curve of size, language and source; equal texts of one cell are neighbours.
+    """Place documents on the curve of size, language and source. Equal texts stand together, whatever their languages and sources: in one shard, or across one cut.
 
-    A null text has 16 bytes and checksum 0; null languages and sources share a cell. Only ids and measures are sorted,
-    the texts stay where they are.
+    A null text has 16 bytes and checksum 0; null languages and sources count as empty. Where equal texts differ in language or source, all
+    are placed by the least of each. Only ids and measures are sorted, the texts stay where they are.
     """
-    slim = docs.select("doc_id", (F.octet_length(text_of()) + 16).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), "lang", "source")
-    placed = hilbert_shards(slim, {"size": "log", "lang": "hash", "source": "hash"}, ["size", "text_crc32", "doc_id"], shards)
+    key = F.xxhash64(text_of()).alias("text_key")
+    slim = docs.select("doc_id", (F.octet_length(text_of()) + 16).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), key, *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")])
+    slim = cut(slim, "measures")
+    same = ["size", "text_crc32", "text_key"]
+    groups = slim.groupBy(*same).agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source") for n, f in (("least", F.min), ("most", F.max))])
+    mixed = small(cut(groups.filter("least_lang <> most_lang or least_source <> most_source").drop("most_lang", "most_source"), "mixed"))
+    slim = slim.join(mixed, same, "left").withColumns({c: F.coalesce(f"least_{c}", c) for c in ("lang", "source")})
+    placed = hilbert_shards(slim, ["size", "lang", "source"], [*same, "doc_id"], shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
