@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding (operator 6).
 
-A long text is cut into overlapping chunks, which tasks pre-tokenise and encode in parallel. Pre-tokens depend on nothing
-before their start, so two chunks agree from the first boundary on that both have: there they are stitched. Should an
-overlap have no common boundary, the text from the last sure boundary on is pre-tokenised again until one is met.
-Short texts are one chunk. Decoding concatenates the ids' bytes.
+A text is cut into overlapping chunks, which tasks pre-tokenise. Pre-tokens depend on nothing before their start, so two
+chunks agree from the first boundary on that both have: there they are stitched. Should an overlap have no common
+boundary, the text from the last sure boundary on is pre-tokenised again until one is met. Then the pieces between the
+stitched boundaries are encoded. A text of one chunk needs no stitch and no shuffle. Decoding concatenates the ids' bytes.
 
-The merges of a pre-token are remembered per task up to a bound; the rank file is read where the task runs.
+The ranks are read on the driver and broadcast, so executors need no file; their size is the vocabulary's. The merges of a
+piece are remembered per task up to a bound.
 """
 
 from __future__ import annotations
@@ -19,31 +20,35 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import text_of
+from .common import packed, text_of
 
-CHUNK, OVERLAP = 200_000, 2_000  # characters
+CHUNK, OVERLAP = 8_192, 256  # characters
 REMEMBERED = 400_000
+AHEAD = 3  # characters that a pre-token's choice may look at beyond its start: the longest contraction
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
+def tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
+    return Tokenizer(ranks, pattern)
 
 
 class Tokenizer:
-    """Ranks, pattern and the remembered ids of pre-tokens."""
+    """Ranks (lines of a token in base64 and its rank), pattern and the remembered ids of pieces."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    def __init__(self, ranks: bytes, pattern: str):
+        rank_of = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
         self.pattern = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.merge = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=rank_of, special_tokens={}).encode_ordinary  # one piece at a time
+        self.bytes_of = {rank: token for token, rank in rank_of.items()}
         self.known: dict[str, list[int]] = {}
 
+    def starts(self, text: str) -> np.ndarray:
+        return np.fromiter((m.start() for m in self.pattern.finditer(text)), dtype=np.int64)
+
     def ids(self, piece: str) -> list[int]:
         found = self.known.get(piece)
         if found is None:
@@ -52,43 +57,49 @@ class Tokenizer:
             found = self.known[piece] = self.merge(piece)
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, pieces: Iterator[str]) -> list[int]:
         known, out = self.known, []
-        for piece in self.pattern.findall(text):
+        for piece in pieces:
             out += known.get(piece) or self.ids(piece)
         return out
 
+    def pieces(self, text: str, chunks: list[np.ndarray] | None, chunk: int, overlap: int) -> Iterator[str]:
+        """The pre-tokens of a text: of its only chunk, or by the starts that its chunks have."""
+        if chunks is None:
+            return iter(self.pattern.findall(text))
+        cuts = stitched(chunks, text, self.pattern, chunk, overlap)
+        return (text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def joined(starts: list[list[int]], ids: list[list[list[int]]], text: str, tok: Tokenizer, chunk: int, overlap: int) -> list[int]:
-    """Stitch a text's chunks: starts of the pre-tokens of each, by their place in the text, and their ids."""
+def stitched(chunks: list[np.ndarray], text: str, pattern: regex.Pattern, chunk: int, overlap: int) -> list[int]:
+    """The starts of all pre-tokens of a text, from those of its overlapping chunks (places in the text, in order)."""
     out: list[int] = []
     at = 0  # a sure boundary
-    for k, (here, each) in enumerate(zip(starts, ids, strict=True)):
-        place = {s: i for i, s in enumerate(here)}
-        while at not in place and at < len(text) and (not here or at <= here[-1]):
-            m = tok.pattern.match(text, at)
-            out += tok.ids(m[0])
-            at = m.end()
-        if at not in place:
+    for k, here in enumerate(chunks):
+        while at < len(text) and len(here) and at <= here[-1]:  # no boundary of this chunk yet: pre-tokenise on from the sure one
+            i = int(np.searchsorted(here, at))
+            if here[i] == at:
+                break
+            out.append(at)
+            at = pattern.match(text, at).end()
+        else:
             continue
-        i = place[at]
-        follows = set(starts[k + 1]) if k + 1 < len(starts) else ()
-        last = len(here)
-        if k + 1 < len(starts):  # what the chunk's end may have cut: its last pre-token, and a contraction of three characters
-            last -= 1
-            while last and here[last - 1] + 3 > (k + 1) * chunk + overlap:
-                last -= 1
-        while i < last and not (here[i] >= (k + 1) * chunk and here[i] in follows):
-            out += each[i]
-            i += 1
-        at = here[i] if i < len(here) else len(text)
+        if k + 1 == len(chunks):
+            return out + here[i:].tolist()
+        # what the chunk's end may have changed: its last pre-token, and those that could have looked beyond it
+        sure = min(len(here) - 1, int(np.searchsorted(here, (k + 1) * chunk + overlap - AHEAD, "right")))
+        later = here[i : sure + 1]
+        later = later[later >= (k + 1) * chunk]
+        met = later[np.isin(later, chunks[k + 1])]
+        end = int(np.searchsorted(here, met[0])) if len(met) else max(sure, i)
+        out += here[i:end].tolist()
+        at = int(here[end])
     while at < len(text):
-        m = tok.pattern.match(text, at)
-        out += tok.ids(m[0])
-        at = m.end()
+        out.append(at)
+        at = pattern.match(text, at).end()
     return out
 
 
@@ -104,71 +115,82 @@ def results(ids: list[list[int]], tok: Tokenizer, digest: bool) -> list[pa.Array
     return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(byte_form(x)) for x in ids], pa.string()), pa.array([sha(x) for x in decoded], pa.string())]
 
 
-def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
-    """The columns of df without the text, and ids (array<int>) and decoded (binary, the ids' bytes); with digest, their number and hashes instead. Columns of those names are replaced.
+def read_ranks(spark: SparkSession, path: str):
+    """The rank file, which the driver reads, for all tasks."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def packed_lengths(starts: np.ndarray, end: int) -> bytes:
+    """The lengths of the pre-tokens between the starts and the end, one byte each if they fit, else four."""
+    lengths = np.diff(np.append(starts, end))
+    wide = len(lengths) and lengths.max() > 255
+    return (b"\4" if wide else b"\1") + lengths.astype("<u4" if wide else "u1").tobytes()
+
+
+def unpacked_starts(lengths: bytes, begin: int) -> np.ndarray:
+    each = np.frombuffer(lengths, dtype="<u4" if lengths[0] == 4 else "u1", offset=1).astype(np.int64)
+    return begin + np.cumsum(each) - each
+
+
+def chunk_starts(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(k0, k1, chunks) of each different text that is longer than a chunk: for each chunk, in order, the lengths of its pre-tokens.
+
+    Each chunk is a row, and chunks are dealt out to tasks, so a very long text is pre-tokenised by many. Copies of a text are made one by a partial aggregate.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(ranks.value, pattern)
+        for batch in batches:
+            lengths = [packed_lengths(tok.starts(part), len(part)) for part in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths, pa.binary())], ["k0", "k1", "k", "lengths"])
+
+    last = F.floor((F.length("text") - 1) / chunk).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), F.substring("text", k * chunk + 1, F.lit(chunk + overlap)).alias("part")))
+    rows = texts.select("k0", "k1", F.explode(parts).alias("p")).select("k0", "k1", "p.k", "p.part")
+    dealt = rows.repartition("k0", "k1", "k").mapInArrow(run, "k0 long, k1 long, k int, lengths binary")
+    once = dealt.groupBy("k0", "k1", "k").agg(F.first("lengths").alias("lengths"))
+    return once.groupBy("k0", "k1").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lengths"))), lambda x: x["lengths"]).alias("chunks"))
 
-    A null text counts as empty and has no ids.
 
-    Texts of at most chunk characters are encoded where they are. Of longer ones each chunk is a row, dealt out to tasks, and
-    a text's chunks meet again, with its text, in a group that holds this text alone; all columns of df must be groupable then.
+def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
+    """The columns of df without the text, and ids (array<int>) and decoded (binary, the ids' bytes); with digest, their number and hashes instead.
+
+    A null or empty text has no ids. Repeated rows are repeated. Columns named like the new ones are replaced; an empty table gives none. Chunks of longer
+    texts, by the text's hash (128 bits), are pre-tokenised as rows of their own; their boundaries then meet the text again.
     """
     made = [x.split()[0] for x in (DIGESTS if digest else TOKENS).split(", ")]
     rest = [c for c in df.columns if c != text_col and c not in made]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], text_of(text_col).alias("_text"))
-    short = source.filter(F.length("_text") <= chunk)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
-    names = [*rest, *made]
-    out = f"{kinds}, {DIGESTS if digest else TOKENS}"
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
+    ranks = read_ranks(df.sparkSession, path)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row") if rest else F.lit(True).alias("row"), text_of(text_col).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(ranks.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [tok.encode(t) for t in part.column(len(rest)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *results(ids, tok, digest)], names)
+                chunks = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
+                starts = [x and [unpacked_starts(c, k * chunk) for k, c in enumerate(x)] for x in chunks]
+                ids = [tok.encode(tok.pieces(t, x, chunk, overlap)) for t, x in zip(part.column(1).to_pylist(), starts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *results(ids, tok, digest)], ["row", *made])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                k, text = one.column(2)[0].as_py(), one.column(3)[0].as_py()
-                found = [(m.start() + k * chunk, tok.ids(m[0])) for m in tok.pattern.finditer(text)]
-                columns = [pa.array([[s for s, _ in found]], pa.list_(pa.int32())), pa.array([[i for _, i in found]], pa.list_(pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), *columns], ["doc_key", "text_key", "k", "starts", "ids"])
-
-    def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                parts = sorted(one.column(len(rest) + 1)[0].as_py(), key=lambda x: x["k"])
-                ids = joined([x["starts"] for x in parts], [x["ids"] for x in parts], one.column(len(rest))[0].as_py(), tok, chunk, overlap)
-                yield pa.RecordBatch.from_arrays([*one.columns[: len(rest)], *results([ids], tok, digest)], names)
-
-    long = source.filter(F.length("_text") > chunk).withColumns({"_dk": F.xxhash64(*[F.col(f"`{c}`") for c in rest]), "_tk": F.xxhash64("_text")})
-    texts = long.select("_dk", "_tk", "_text").dropDuplicates(["_dk", "_tk"])
-    ks = F.explode(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / chunk).cast("int"))).alias("k")
-    chunks = texts.select(F.col("_dk").alias("doc_key"), F.col("_tk").alias("text_key"), ks, "_text")
-    chunks = chunks.select("doc_key", "text_key", "k", F.substring("_text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part"))
-    dealt = chunks.repartition("doc_key", "text_key", "k").mapInArrow(pieces, "doc_key long, text_key long, k int, starts array<int>, ids array<array<int>>")
-    grouped = dealt.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("k", "starts", "ids")).alias("_parts"))
-    met = long.join(grouped, (F.col("_dk") == F.col("doc_key")) & (F.col("_tk") == F.col("text_key")))
-    return short.mapInArrow(whole, out).unionByName(met.select(*[F.col(f"`{c}`") for c in rest], "_text", "_parts").mapInArrow(stitched, out))
+    long = rows.filter(F.length("text") > chunk).withColumns({"k0": F.xxhash64("text"), "k1": F.xxhash64(F.length("text"), "text")})
+    met = long.join(chunk_starts(long, ranks, pattern, chunk, overlap), ["k0", "k1"]).select("row", "text", "chunks")
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(DIGESTS if digest else TOKENS)])
+    out = rows.filter(F.length("text") <= chunk).mapInArrow(run, schema).unionByName(met.mapInArrow(run, schema))
+    return out.select(*(["row.*"] if rest else []), *made)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """df with decoded: the bytes of the ids, one after another. Null ids count as none."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    """df with decoded: the bytes of the ids, one after another. Null ids count as none; a column named decoded is replaced."""
+    ranks = read_ranks(df.sparkSession, path)
+    rows = packed(df.select(*[F.col(f"`{c}`") for c in df.columns if c != "decoded"]), F.col(f"`{ids_col}`").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
+        tok = tokenizer(ranks.value, pattern)
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([tok.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tok.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["_row", "decoded"])
 
-    return df.mapInArrow(run, f"{kinds}, decoded binary")
+    return rows.mapInArrow(run, StructType([rows.schema["_row"], *StructType.fromDDL("decoded binary")])).select("_row.*", "decoded")
 
 
 def byte_form(ids: list[int]) -> bytes:
@@ -177,4 +199,5 @@ def byte_form(ids: list[int]) -> bytes:
 
 
 def token_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens and the hashes of ids and decoded bytes of every document; a null text counts as empty."""
     return encode_texts(docs.select("doc_id", "text"), path, pattern, digest=True)
