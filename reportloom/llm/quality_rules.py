@@ -37,13 +37,18 @@ POLICIES: dict[str, int] = {
 }
 
 
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals")
+
+
 def measurements(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letters and n_capitals (long).
 
-    A null or empty text measures 0 throughout. Lines without a word count for nothing. Columns of those names are replaced.
+    A null or empty text measures 0 throughout. Lines without a word count for nothing. Columns of those names are replaced, all others kept. Repeated rows
+    are measured each; an empty table gives none.
     """
     t = F.col("_text")
-    out = df.withColumn("_text", text_of(text_col))
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in MEASURED])
+    out = packed(rest, text_of(f"`{text_col}`").alias("_text"))
     out = out.withColumns({"_words": F.filter(F.split(t, SPACE + "+", -1), lambda w: w != ""), "_lines": F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))})
     hashes = F.when(F.size("_words") >= SPAN, F.transform(F.sequence(F.lit(1), F.size("_words") - (SPAN - 1)), lambda i: F.xxhash64(F.slice("_words", i, SPAN)))).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("_hashes", hashes)
@@ -69,11 +74,12 @@ def measurements(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_letters": letters,
         "n_capitals": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", "")),
     }
-    return settled(out, {k: v.cast("long") for k, v in measured.items()}, ["_text", "_words", "_lines", "_hashes", "_sorted", "_twice"])
+    made = settled(out, {k: v.cast("long") for k, v in measured.items()}, ["_text", "_words", "_lines", "_hashes", "_sorted", "_twice"])
+    return made.select("_row.*", *MEASURED)
 
 
 def rule_ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with its measurements and fail_bits: bit i is set where rule i of RULES fails."""
+    """df with its measurements and fail_bits: bit i is set where rule i of RULES fails. A null or empty text fails the rule of few words alone."""
     bits = sum((F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0)) for name, condition in RULES), F.lit(0))
     return measurements(df, text_col).withColumn("fail_bits", bits.cast("long"))
 
@@ -91,7 +97,7 @@ def apply_policies(ledger: DataFrame, versions: Sequence[str] = tuple(POLICIES))
 def ablation(ledger: DataFrame, version: str) -> DataFrame:
     """For each rule of a policy: documents it rejects, and those that only it rejects, so that dropping it would keep them.
 
-    Documents are first counted by mask, of which there are at most 2^rules.
+    Documents are first counted by mask, of which there are at most 2^rules. Rows count each, repeated or not; an empty ledger gives no rule.
     """
     masks = ledger.groupBy(F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version])).alias("mask")).agg(F.count("*").alias("n"))
     rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(BIT[name]).alias("bit")) for name, _ in RULES if BIT[name] & POLICIES[version]]))
@@ -100,15 +106,15 @@ def ablation(ledger: DataFrame, version: str) -> DataFrame:
     return each.groupBy("rule").agg(F.coalesce(F.sum(F.when(failed, F.col("n"))), F.lit(0)).alias("n_failed"), F.coalesce(F.sum(F.when(F.col("mask") == F.col("bit"), F.col("n"))), F.lit(0)).alias("n_only"))
 
 
-def quality_verdicts(docs: DataFrame, version: str = "v1") -> DataFrame:
-    """One row a document: its measurements, bits, base_failed and kept."""
+def quality_verdicts(docs: DataFrame, version: str = "v2") -> DataFrame:
+    """One row a document: its measurements, bits, base_failed and kept. A null text has no words, so it fails the base rules."""
     base = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["base"])) != 0
     return rule_ledger(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(version)).alias("kept"), "n_lines", "n_letters", "n_capitals", "fail_bits"
     )
 
 
-def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
     """docs without those that the policy of that version rejects; null and empty texts fail its rule of few words."""
     ledger = rule_ledger(packed(docs, F.col(f"`{text_col}`").alias("_t")), "_t")
     return ledger.filter(passes(version)).select("_row.*")
@@ -129,6 +135,6 @@ m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-
 b AS (SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT) + 8 * CAST(10 * n_dup_lines > 3 * n_lines AS BIGINT)
   + 16 * CAST(word_chars > 40 * n_words AS BIGINT) + 32 * CAST(2 * n_letters < word_chars AS BIGINT) + 64 * CAST(2 * n_capitals > n_letters AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_letters AS BIGINT) AS n_letters,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & ~8 = 0 AS kept, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_letters AS BIGINT) AS n_letters,
   CAST(n_capitals AS BIGINT) AS n_capitals, fail_bits FROM b
 """
