@@ -5,8 +5,9 @@ context in which it was seen, plus an escape for every longer context that the l
 seen n times with q different followers gives the escape q / (n + q)). A text's code length is the sum over its bytes, in bits; the language
 with the shortest one is predicted, and the score is that language's share of the summed probabilities 2^-length at equal priors.
 
-The trees of all languages are laid out over the union of their contexts: a table leads from the last three bytes to the longest
-known context, and each language has a table of code lengths by context and byte. Scoring is two lookups a byte.
+Each language has a tree of its own, as sorted arrays: for every order the codes of the (context, byte) it has seen and their
+code lengths, with all escapes resolved, and its contexts with their escapes. A tree is as large as the four-byte strings of
+its sample, and there is one for every language; none is cut. A block of texts is scored by its distinct four-byte strings.
 """
 
 from __future__ import annotations
@@ -18,80 +19,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_of
+from .common import cut, held_out, small, text_of
 from .textnum import Block, blocks
 
 DEPTH = 3
 SAMPLE = 3_000  # labelled documents a language, about
-LANGUAGES = 200  # the most frequent ones are learned
-CONTEXTS = 60_000  # the most frequent ones are kept
-LEAST = 3  # occurrences of a context that is kept
-
-
-class ContextTrees:
-    """Frozen statistics: symbol (byte -> symbol, 0 for bytes that were never seen and for the start), lead and cost."""
-
-    def __init__(self, languages: list[str], codes: np.ndarray, language: np.ndarray, counts: np.ndarray):
-        """codes: four bytes as one integer, the newest lowest; zero bytes before a text's start."""
-        seen = np.unique((codes[:, None] >> np.array([0, 8, 16, 24])) & 255)
-        self.languages = languages
-        self.symbol = np.zeros(256, dtype=np.int32)
-        self.symbol[seen[seen > 0]] = np.arange(1, (seen > 0).sum() + 1)
-        self.size = a = int(self.symbol.max()) + 1
-        parts = [self.symbol[(codes >> (8 * k)) & 255].astype(np.int64) for k in range(DEPTH + 1)]
-        n_lang = len(languages)
-        self.lead = np.zeros(a**DEPTH, dtype=np.int32)
-        # order 0: one context for all
-        tables = np.zeros((n_lang, 1, a))
-        for k in range(n_lang):
-            tables[k, 0] = self.costs(parts[0][language == k], counts[language == k], np.zeros(1, dtype=np.int64), None, np.full((1, a), np.log2(a)))[0]
-        place = np.zeros(1, dtype=np.int64)  # context code of the last order -> row of tables
-        rows = 1
-        for order in range(1, DEPTH + 1):
-            code = sum(parts[j] * a ** (j - 1) for j in range(1, order + 1))
-            total = np.bincount(code, weights=counts, minlength=a**order)
-            known = np.flatnonzero(total >= LEAST)
-            if len(known) > CONTEXTS:
-                known = np.sort(known[np.argsort(-total[known], kind="stable")[:CONTEXTS]])
-            parent = place[np.arange(a**order) % a ** (order - 1)] if order > 1 else np.zeros(a, dtype=np.int64)
-            place = parent.copy()
-            place[known] = rows + np.arange(len(known))
-            more = np.zeros((n_lang, len(known), a))
-            for k in range(n_lang):
-                mine = language == k
-                more[k] = self.costs(parts[0][mine], counts[mine], known, code[mine], tables[k][parent[known]])
-            tables = np.concatenate([tables, more], axis=1)
-            rows += len(known)
-        self.lead = place.astype(np.int32)
-        self.cost = [np.ascontiguousarray(t, dtype=np.float32).ravel() for t in tables]
-
-    def costs(self, byte: np.ndarray, counts: np.ndarray, known: np.ndarray, code: np.ndarray | None, shorter: np.ndarray) -> np.ndarray:
-        """Code lengths by context (of known) and byte, from the counts of (context code, byte) and the lengths in the shorter contexts."""
-        a = self.size
-        at = np.zeros(len(byte), dtype=np.int64) if code is None else np.searchsorted(known, code)
-        if code is not None:
-            inside = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == code) if len(known) else np.zeros(len(code), dtype=bool)
-            at, byte, counts = at[inside], byte[inside], counts[inside]
-        n = np.bincount(at * a + byte, weights=counts, minlength=len(known) * a).reshape(-1, a)
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0.0)
-            return np.where(n > 0, np.log2((total + kinds) / np.maximum(n, 1)), escape + shorter)
-
-    def lengths(self, block: Block) -> np.ndarray:
-        """Bits of each text (rows) in each language."""
-        s = self.symbol[block.data].astype(np.int64)
-        last = [shifted(s, block.off, k) for k in range(1, DEPTH + 1)]
-        context = sum(x * self.size**k for k, x in enumerate(last))
-        flat = self.lead[context].astype(np.int64) * self.size + s
-        out = np.zeros((block.n, len(self.languages)))
-        full = np.flatnonzero(np.diff(block.off) > 0)
-        for k, cost in enumerate(self.cost):
-            if len(full):
-                out[full, k] = np.add.reduceat(cost[flat], block.off[full], dtype=np.float64)
+EVIDENCE = 16  # bytes: a text's code lengths are scaled to so many for its score, as its bytes do not stand for themselves
+
+
+def found_in(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each sought code is among the sorted keys, and its place."""
+    at = np.minimum(np.searchsorted(keys, sought), max(len(keys) - 1, 0))
+    return (keys[at] == sought if len(keys) else np.zeros(len(sought), dtype=bool)), at
+
+
+class ContextTree:
+    """Frozen statistics of one language. codes: four bytes as one integer, the newest lowest, zero bytes before a text's start; n: their counts."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        self.seen: list[np.ndarray] = []  # by order: (context, byte)
+        self.cost: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []  # by order
+        self.escape: list[np.ndarray] = []
+        for order in range(DEPTH + 1):
+            code, where = np.unique(codes & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+            count = np.bincount(where, weights=n)
+            context, inside = np.unique(code >> 8, return_inverse=True)
+            total, kinds = np.bincount(inside, weights=count), np.bincount(inside)
+            self.seen.append(code)
+            self.cost.append(np.log2((total + kinds)[inside] / count))
+            self.contexts.append(context)
+            self.escape.append(np.log2((total + kinds) / kinds))
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the newest byte of each code, after the others."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for order in range(DEPTH, -1, -1):
+            code = codes[left] & (1 << 8 * (order + 1)) - 1
+            hit, at = found_in(self.seen[order], code)
+            out[left[hit]] += self.cost[order][at[hit]]
+            left, code = left[~hit], code[~hit]
+            known, at = found_in(self.contexts[order], code >> 8)
+            out[left[known]] += self.escape[order][at[known]]
+        out[left] += 8  # a byte that the language never had: one of 256
         return out
 
 
+def text_lengths(block: Block, trees: list[ContextTree]) -> np.ndarray:
+    """Bits of each text (rows) in each language."""
+    out = np.zeros((block.n, len(trees)))
+    full = np.flatnonzero(np.diff(block.off) > 0)
+    if len(full):
+        codes, where = np.unique(four_bytes(block), return_inverse=True)
+        for k, tree in enumerate(trees):
+            out[full, k] = np.add.reduceat(tree.lengths(codes)[where], block.off[full], dtype=np.float64)
+    return out
+
+
 def shifted(s: np.ndarray, off: np.ndarray, by: int) -> np.ndarray:
     """Each place's symbol so many places before in the same text, 0 before its start."""
     out = np.zeros_like(s)
@@ -108,69 +92,64 @@ def four_bytes(block: Block) -> np.ndarray:
     return sum((shifted(s, block.off, k) if k else s) << (8 * k) for k in range(DEPTH + 1))
 
 
-def training_rows(docs: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
-    """(language index, text) of about so many labelled documents a language, chosen by a hash of their id and text, and the languages."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.octet_length(text_of()) > 0))
-    counts = sorted(((r["n"], r["lang"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()), key=lambda x: (-x[0], x[1]))
-    languages = [lang for _, lang in counts]
-    if not languages:
-        return known.select(F.lit(0).alias("language"), text_of().alias("text")).limit(0), []
-    share = F.create_map(*[x for i, (n, lang) in enumerate(counts) for x in (F.lit(lang), F.struct(F.lit(i).alias("language"), F.lit(min(1.0, sample / n)).alias("share")))])
-    chosen = known.withColumn("_s", F.element_at(share, F.col("lang")))
+def training_rows(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of about so many labelled documents a language, chosen by a hash of their id and text."""
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.octet_length(text_of()) > 0)).select("doc_id", "lang", "text")
+    counts = small(cut(known.groupBy("lang").agg(F.count("*").alias("n")), "languages"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    return chosen.filter(draw < F.col("_s.share")).select("_s.language", "text"), languages
+    return known.join(counts, "lang").filter(draw < F.lit(sample) / F.col("n")).select("lang", "text")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> ContextTrees | None:
-    """The trees of the documents outside the held-out fifth that have a language and a text; None if there are none.
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, ContextTree]:
+    """The tree of every language of the documents outside the held-out fifth that have a language and a text, by the number of bytes learned from, most first.
 
-    sample bounds what is learned from: about so many documents a language. Their counts, added up by tasks, come to the driver.
+    sample bounds what is learned from: about so many documents a language. Their four-byte strings are counted by tasks; a language's counts, one row for each
+    distinct string, come to the driver together with the others'. An empty table gives no tree.
     """
-    rows, languages = training_rows(docs, sample)
-    if not languages:
-        return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            language = batch.column(0).to_numpy(zero_copy_only=False)
+            names, language = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
             for block in blocks(batch.column(1)):
                 each = np.repeat(language[block.at : block.at + block.n].astype(np.int64), np.diff(block.off))
                 code, n = np.unique((each << 32) | four_bytes(block), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[code >> 32], pa.string()), pa.array(code & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    counted = rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    if counted.empty:
-        return None
-    code = counted["code"].to_numpy()
-    return ContextTrees(languages, code & 0xFFFFFFFF, code >> 32, counted["n"].to_numpy().astype(np.float64))
+    counted = training_rows(docs, sample).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    trees = {lang: (g["n"].sum(), ContextTree(g["code"].to_numpy(dtype=np.int64), g["n"].to_numpy(dtype=np.float64))) for lang, g in counted.groupby("lang")}
+    return {lang: trees[lang][1] for lang in sorted(trees, key=lambda x: (-trees[x][0], x))}
 
 
-def predict(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, lang_pred and score of every document.
+def predict(docs: DataFrame, trees: dict[str, ContextTree], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, held_out, lang_pred and score of every document.
 
-    Null texts, texts without a letter and all texts if nothing was learned are "und" with score 0. Ties go to the language learned from more documents.
+    Null texts, texts without a letter and all texts if nothing was learned are "und" with score 0. Ties go to the language learned from more bytes.
+    An empty table gives none. The id keeps its name unless another output has it; then it is called id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     kind = docs.schema[id_col].dataType.simpleString()
+    name = id_col if id_col not in ("held_out", "lang_pred", "score") else "id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        languages, trees = list(shared.value), list(shared.value.values())
         for batch in batches:
             letters = batch.column(3).to_numpy(zero_copy_only=False)
             names = np.full(batch.num_rows, "und", dtype=object)
             score = np.zeros(batch.num_rows)
             for block in blocks(batch.column(2)) if trees else ():
-                bits = trees.lengths(block)
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+                bits = text_lengths(block, trees)
+                best, size = bits.argmin(axis=1), np.maximum(np.diff(block.off), EVIDENCE)[:, None]
+                share = 1 / np.exp2((bits.min(axis=1, keepdims=True) - bits) * EVIDENCE / size).sum(axis=1)
                 for i in np.flatnonzero(letters[block.at : block.at + block.n]):
-                    names[block.at + i], score[block.at + i] = trees.languages[best[i]], share[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], [id_col, "held_out", "lang_pred", "score"])
+                    names[block.at + i], score[block.at + i] = languages[best[i]], share[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], [name, "held_out", "lang_pred", "score"])
 
-    slim = docs.select(id_col, held_out(id_col).alias("held_out"), text_of(text_col).alias("_text"), F.rlike(text_of(text_col), F.lit(r"\p{L}")).alias("_letters"))
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    text = text_of(f"`{text_col}`")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), held_out(f"`{id_col}`").alias("held_out"), text.alias("text"), F.rlike(text, F.lit(r"\p{L}")).alias("letters"))
+    return slim.mapInArrow(run, f"`{name}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, by trees of the documents outside the held-out fifth; null texts are "und"."""
     docs = docs.select("doc_id", "text", "lang")
     return predict(docs, train(docs))
