@@ -1,9 +1,9 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader (operator 9).
 
-Features are word unigrams and bigrams and, as the words themselves are sparse, unigrams to trigrams of word shapes (kind of each run of characters, and
-whether a word repeats the one before), hashed to 2^BITS weights; a feature's value is its share of the text's n-grams of that kind. Training is
-FTRL-proximal with per-weight learning rates, in SHARDS tasks over disjoint parts of the labelled rows; their weights are averaged.
-A score is a sparse dot product, added up over all n-grams of the whole text at once.
+Features are hashed n-grams of words: unigrams and bigrams of the words as they stand and, as most of those are too rare to learn from, unigrams to
+trigrams of the words reduced to their shape (kind of each run of characters, and whether a word repeats the one before), hashed to 2^BITS weights; a
+feature's value is its share of the text's n-grams of that kind. Training is FTRL-proximal with per-weight learning rates, one row after another over a
+bounded sample, whose feature vectors tasks make. A score is a sparse dot product, added up over all n-grams of the whole text at once.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_of
+from .common import cut, held_out, small, text_of
 from .textnum import ODD, SOLID, U, Block, blocks, mix, sequence_hash
 
 BITS = 18
-SHARDS = 8
-SAMPLE = 24_000  # labelled documents that are learned from, about
+SAMPLE = 8_000  # labelled documents that are learned from, about
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 THRESHOLD = 0.3
@@ -90,35 +89,46 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
     return weights(slice(None))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
-    """The weights, averaged over the shards. labels has doc_id and target (0 or 1; null rows are left out).
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
+    """The weights. labels has doc_id and target (0 or 1; null rows are left out).
 
-    Only labels outside the held-out fifth count, about `sample` of them, chosen by a hash of the id; that many narrow rows are broadcast to the
-    texts. With no labels all weights are 0, so every score is 1/2. Repeated rows count as often as they stand.
+    Only labels outside the held-out fifth count, about `sample` of them, chosen by a hash of the id and taken in an order by another. With no labels
+    all weights are 0, so every score is 1/2. Repeated rows count as often as they stand; null and wordless texts count by the bias.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("_y"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("y"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = known.filter(draw < F.lit(min(1.0, sample / max(n, 1))))
-    rows = docs.select("doc_id", text_of().alias("_text")).join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", F.lit(2)).alias("at"), "_text", "_y")
+    chosen = small(cut(known.filter(draw < F.lit(min(1.0, sample / max(n, 1)))), "labels"))
+    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select(F.xxhash64("doc_id", F.lit(2)).alias("at"), F.xxhash64("text").alias("text_key"), "y", "text")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(3)):
+                found = rows_of(block)
+                index, value = pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(block.at, block.n) for k in range(3)), index, value], ["at", "text_key", "y", "index", "value"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "_text"])
-        features = [row for block in blocks(pa.array(group["_text"], pa.string())) for row in rows_of(block)]
-        w = learn(features, group["_y"].tolist(), epochs)
+        group = group.sort_values(["at", "text_key", "y"])
+        w = learn([(i.astype(np.int64), x.astype(np.float64)) for i, x in zip(group["index"], group["value"], strict=True)], group["y"].tolist(), epochs)
         used = np.flatnonzero(w)
         return pd.DataFrame({"index": used, "w": w[used]})
 
-    found = rows.groupBy("shard").applyInPandas(fit, "index int, w double").groupBy("index").agg(F.sum("w").alias("w")).toPandas()
+    made = rows.mapInArrow(vectors, "at long, text_key long, y int, index array<int>, value array<float>")
+    found = made.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(fit, "index int, w double").toPandas()  # at most a row a weight
     out = np.zeros(1 << BITS, dtype=np.float32)
-    out[found["index"].to_numpy(dtype=np.int64)] = found["w"].to_numpy() / shards
+    out[found["index"].to_numpy(dtype=np.int64)] = found["w"].to_numpy()
     return out
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, held_out, score (0 to 1) and predicted (1 if the score reaches the threshold) of every document. Null and wordless texts score by the bias alone."""
+    """The id, held_out, score (0 to 1) and predicted (1 if the score reaches the threshold) of every document. Null and wordless texts score by the bias alone.
+
+    An empty table gives none. The id keeps its name unless another output has it; then it is called id.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[id_col].dataType.simpleString()
+    name = id_col if id_col not in ("held_out", "score", "predicted") else "id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -128,11 +138,12 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 for text, index, value in ngrams(block):
                     total[block.at : block.at + block.n] += np.bincount(text, weights=w[index] * value, minlength=block.n)
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [name, "held_out", "score", "predicted"])
 
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_of(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), held_out(f"`{id_col}`").alias("held_out"), text_of(f"`{text_col}`").alias("text")).mapInArrow(run, f"`{name}` {kind}, held_out boolean, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, by a model of the labels outside the held-out fifth; a null text scores by the bias."""
     docs = docs.select("doc_id", "text")
     return score(docs, train(docs, labels))
