@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,27 +99,38 @@ def structure(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+# What lets a table without a number go on from the one before, in order: the least likeness of headers, the least overlap of headers or paths, the least
+# overlap of paths, whether one must end low on its page and the other start high, and whether both must be parameter tables.
+GOES_ON = (
+    ("alike", {"alike": 0.88}), ("alike_overlapping", {"alike": 0.78, "overlap": 0.55}), ("placed_overlapping", {"alike": 0.4, "overlap": 0.55, "placed": True}),
+    ("placed_parameters", {"alike": 0.35, "overlap": 0.45, "placed": True, "parameters": True}), ("placed_paths", {"alike": 0.35, "paths": 0.7, "placed": True}),
+)
+HIGH, LOW = 0.25, 0.7  # shares of a page's height
+
+
 def assess_continuation(tables: DataFrame) -> DataFrame:
-    """Whether each table goes on from the one before it in its document, and why (not). tables: ptr_id, table_id, page_no, y0, y1, height, table_number, n_cols, headers, paths, is_parameter."""
+    """Whether each table goes on from the one before it in its document (continues), and the reason.
+
+    tables: ptr_id, table_id, page_no, y0, y1, height, table_number, n_cols, headers, paths, is_parameter. A table goes on at most to the next page and by one column more or less;
+    equal numbers join, different ones or a number of its own part, and without numbers the first rule of GOES_ON that holds joins.
+    """
     order = W.partitionBy("ptr_id").orderBy("page_no", "y0")
-    names = ("page_no", "y1", "height", "table_number", "n_cols", "headers", "paths", "is_parameter")
-    rows = tables.withColumn("p", F.lag(F.struct(*names)).over(order))
-    gap = F.col("page_no") - F.col("p.page_no")
-    same, number, before = structure(F.col("headers"), F.col("p.headers")), F.col("table_number"), F.col("p.table_number")
-    path = overlap(F.col("paths"), F.col("p.paths"))
-    signal = F.greatest(overlap(F.col("headers"), F.col("p.headers")), path)
-    bridge = (F.col("y0") < 0.25 * F.col("height")) & (F.col("p.y1") > 0.7 * F.col("p.height"))
-    accept = (
-        F.when(same >= 0.88, "high_structure_similarity").when((same >= 0.78) & (signal >= 0.55), "high_structure_with_overlap").when(bridge & (signal >= 0.55) & (same >= 0.4), "top_bottom_with_header_or_path_overlap")
-        .when(bridge & F.col("is_parameter") & F.col("p.is_parameter") & (signal >= 0.45) & (same >= 0.35), "parameter_continuation_with_joint_evidence").when(bridge & (path >= 0.7) & (same >= 0.35), "top_bottom_with_path_overlap")
-    )
-    reason = (
-        F.when(F.col("p").isNull(), "first").when((gap < 0) | (gap > 1), "page_gap_invalid").when((F.col("n_cols") == 0) | (F.col("p.n_cols") == 0), "empty_columns").when(F.abs(F.col("n_cols") - F.col("p.n_cols")) > 1, "column_count_mismatch")
-        .when(number != before, "table_number_conflict").when(number == before, "same_table_number").when(number.isNotNull(), "current_has_table_number")
-        .when(before.isNull() & accept.isNull(), "missing_table_number_without_strong_evidence").when(accept.isNotNull(), accept).otherwise("insufficient_evidence")
-    )
-    goes_on = reason.isin("same_table_number", "high_structure_similarity", "high_structure_with_overlap", "top_bottom_with_header_or_path_overlap", "parameter_continuation_with_joint_evidence", "top_bottom_with_path_overlap")
-    return rows.withColumns({"reason": reason, "continues": goes_on}).drop("p")
+    kept = ("page_no", "y1", "height", "table_number", "n_cols", "headers", "paths", "is_parameter")
+    rows = tables.withColumn("p", F.lag(F.struct(*kept)).over(order))
+    evidence = {
+        "alike": structure(F.col("headers"), F.col("p.headers")), "paths": overlap(F.col("paths"), F.col("p.paths")), "placed": (F.col("y0") < HIGH * F.col("height")) & (F.col("p.y1") > LOW * F.col("p.height")),
+        "overlap": F.greatest(overlap(F.col("headers"), F.col("p.headers")), overlap(F.col("paths"), F.col("p.paths"))), "parameters": F.col("is_parameter") & F.col("p.is_parameter"),
+    }
+    rows = rows.withColumn("e", F.struct(*[v.alias(k) for k, v in evidence.items()]))
+    holds = lambda asked: reduce(lambda a, b: a & b, [F.col(f"e.{k}") if least is True else F.col(f"e.{k}") >= least for k, least in asked.items()])
+    joined = F.coalesce(*[F.when(holds(asked), F.lit(name)) for name, asked in GOES_ON])
+    gap, number, before = F.col("page_no") - F.col("p.page_no"), F.col("table_number"), F.col("p.table_number")
+    parted = {
+        "first": F.col("p").isNull(), "pages_apart": ~gap.between(0, 1), "no_columns": F.least("n_cols", "p.n_cols") == 0, "columns_differ": F.abs(F.col("n_cols") - F.col("p.n_cols")) > 1,
+        "numbers_differ": number != before,
+    }
+    reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in parted.items()], F.when(number == before, "same_number"), F.when(number.isNotNull(), "own_number"), joined, F.when(before.isNull(), "no_number").otherwise("no_evidence"))
+    return rows.withColumn("reason", reason).withColumn("continues", F.col("reason").isin("same_number", *[name for name, _ in GOES_ON])).drop("p", "e")
 
 
 def merge_continuations(assessed: DataFrame) -> DataFrame:

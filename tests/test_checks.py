@@ -77,7 +77,7 @@ def test_normalizer(spark):
 def test_codes_and_dates(spark):
     given = [("2BL010", "28L010", True), ("NavAEPP1206", "NOVAEPP1206", True), ("RF-2000", "RF-3000", False), ("RF-2000", "", False)]
     df = spark.createDataFrame(given, "a string, b string, want boolean").select(matching.field_values_match(F.col("a"), F.col("b")).alias("x"))
-    assert [r["x"] for r in df.collect()][0] is True and [r["x"] for r in df.collect()][2:] == [False, False]
+    assert [r["x"] for r in df.collect()] == [g[2] for g in given]
     dates = spark.createDataFrame([("2026.01.08", "2026/01/08"), ("2025-12-03", "20251203")], "a string, b string")
     assert all(r["x"] for r in dates.select(matching.field_values_match(F.col("a"), F.col("b")).alias("x")).collect())
     fixed = text.normalize_dates(spark.createDataFrame([("20251508",), ("250230",), ("2025.1.5",), ("x",)], "d string"), "d").collect()
@@ -206,9 +206,27 @@ def test_scope(spark):
     assert out["2.5"] == ("match", ext) and out["2.7"] == ("excluded", None) and out["2.4.1"] == ("missing", None)
 
 
+def test_marker_is_a_whole_number(spark):
+    c = clause_rows(spark, {"2.1": "甲", "2.10": "乙"})
+    rows = [(1, 0, "1", "x", "", "按 2.10 的要求", "/"), (1, 1, "2", "x", "", "其他\n2.1 规定", "/"), (1, 2, "3", "x", "", "2.1、规定", "/"), (1, 3, "4", "x", "", "12.1 规定", "/")]
+    got = {r["number_str"]: (r["tier"], r["position"], r["score"]) for r in clauses.match_clauses(c, spark.createDataFrame(rows, ROW), spark.createDataFrame([(1, 1)], PAIR), similarity=False).collect()}
+    assert got == {"2.1": (4, 2, 4.0), "2.10": (4, 0, 1.0)}
+
+
+def test_special_status(spark):
+    given = {"该项本报告范围外": ("out_of_scope_in_current_report", "本报告范围外"), "待 补 证": ("pending_evidence", "待补证"), "结果在另一份报告": ("external_reference", "另一份报告"), "详见 2024-1 号报告": ("external_reference", "详见2024-1号报告"), "待补证，见外部报告": ("pending_evidence", "待补证"), "见附件": None, "不适用": None, "": None, None: None}
+    df = spark.createDataFrame([(t,) for t in given], "t string").select("t", clauses.special_status(F.col("t")).alias("s"))
+    assert {r["t"]: r["s"] and tuple(r["s"]) for r in df.collect()} == given
+
+
+def test_group_clauses(spark):
+    texts = {"2.1": "测试布图如下", "2.1.1": "甲", "2.2": "参数应符合，见表1", "2.2.1": "乙", "2.3": "不应超过，见表1", "2.3.1": "丙", "2.4": "见表1", "2.5": "短", "2.5.1": "丁"}
+    assert {r["number_str"] for r in clauses.group_clauses(clause_rows(spark, texts)).collect()} == {"2.1", "2.2"}
+
+
 def test_match_tiers(spark, monkeypatch):
     texts = {"2.1": "甲要求", "2.2": "乙要求", "2.3.1": "丙要求", "2.4": "丁要求", "2.5.1.1": "戊要求", "2.6": "外壳应光滑无毛刺", "2.7": "完全没有对应的一行"}
-    given = [("1", "x", "2.1", "a"), ("2.2", "x", "", "b"), ("3", "x", "2.3", "c"), ("4", "x", "", "见2.4所列"), ("5", "x", "第2.5", "d"), ("5", "x", "2.5", "e"), ("6", "", "", "外壳应光滑无毛刺刺"), ("7", "", "", "外壳不光滑")]
+    given = [("1", "x", "2.1", "a"), ("2.2", "x", "", "b"), ("3", "x", "2.3", "c"), ("4", "x", "", "见 2.4 所列"), ("5", "x", "第2.5", "d"), ("5", "x", "2.5", "e"), ("6", "", "", "外壳应光滑无毛刺刺"), ("7", "", "", "外壳不光滑")]
     c = clause_rows(spark, texts)
     i = spark.createDataFrame([(1, k, seq, proj, cl, req, "/") for k, (seq, proj, cl, req) in enumerate(given)], ROW)
 
@@ -222,8 +240,10 @@ def test_match_tiers(spark, monkeypatch):
                 found.append((2, -1.0, k))
             if dotted and (n.startswith(cl) or cl.startswith(n)):
                 found.append((3, -1.0, k))
-            if n in req:
-                found.append((4, -4.0, k))
+            e = re.escape(n)
+            score = next((s for p, s in ((rf"^\s*{e}(?:[.．、]|\s|$)", 4), (rf"(?:^|\n)\s*{e}(?:[.．、]|\s|$)", 3), (rf"(?<![\d.]){e}(?:[.．、]|\s|$)", 1)) if re.search(p, req)), 0)
+            if score:
+                found.append((4, -float(score), k))
             if cl and n.startswith(cl + "."):
                 found.append((5, -float(len(cl)), k))
             if not re.search(r"\d+\.\d+", cl):
