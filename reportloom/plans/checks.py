@@ -206,6 +206,18 @@ d AS (SELECT report_id, string_agg(CAST(current_page AS VARCHAR), ',' ORDER BY c
 SELECT b.report_id, n_pages, n_valid, first_number, last_number, last_total, coalesce(n_totals, 0) AS n_totals, coalesce(mis, '') AS missing_pages, coalesce(dup, '') AS duplicate_pages,
   CASE WHEN first_number = 1 AND mis IS NULL AND dup IS NULL AND n_totals = 1 AND last_number = last_total THEN 'pass' ELSE 'error' END AS status
 FROM b LEFT JOIN w USING (report_id) LEFT JOIN m USING (report_id) LEFT JOIN d USING (report_id)""",
+    "a7_page_walk": f"""WITH RECURSIVE {ctes('report_pages')}, {PAGE},
+o AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page_no) AS k FROM q),
+walk AS (SELECT report_id, k, page_no, current_page, total_pages, 1 AS expected, 0 AS total FROM o WHERE k = 1
+ UNION ALL SELECT o.report_id, o.k, o.page_no, o.current_page, o.total_pages, w.expected + CAST(w.current_page = w.expected AS INT), CASE WHEN w.total = 0 AND w.current_page > 0 THEN w.total_pages ELSE w.total END FROM walk w JOIN o ON o.report_id = w.report_id AND o.k = w.k + 1)
+SELECT report_id, page_no, unnest(list_filter([CASE WHEN current_page = 0 THEN 'PAGE_NUMBER_001' WHEN current_page <> expected THEN 'PAGE_NUMBER_002' END, CASE WHEN total > 0 AND total_pages <> total AND current_page > 0 THEN 'PAGE_NUMBER_003' END], lambda x: x IS NOT NULL)) AS error_code FROM walk""",
+    "a9_non_empty_rows": f"""WITH {ctes('inspection_items')}, {FLAGS},
+g0 AS (SELECT *, last_value(seq IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gs FROM f),
+g1 AS (SELECT *, CASE WHEN gs IS DISTINCT FROM lag(gs) OVER (PARTITION BY report_id ORDER BY position) THEN 1 ELSE 0 END AS fresh FROM g0 WHERE gs IS NOT NULL AND NOT non_data),
+g2 AS (SELECT *, sum(fresh) OVER (PARTITION BY report_id ORDER BY position) AS run FROM g1),
+g3 AS (SELECT *, fresh = 1 AND test_result IN ('', '—', '-') AND EXISTS (SELECT 1 FROM g2 b WHERE b.report_id = g2.report_id AND b.run = g2.run AND b.position > g2.position AND b.test_result NOT IN ('', '—', '-')) AS title FROM g2),
+g4 AS (SELECT *, list_filter([CASE WHEN test_result IN ('', '—', '-') THEN 'test_result' END, CASE WHEN item_conclusion IN ('', '—', '-') THEN 'item_conclusion' END, CASE WHEN remark IN ('', '—', '-') THEN 'remark' END], lambda x: x IS NOT NULL) AS empty FROM g3 WHERE NOT title)
+SELECT report_id, CAST(position AS BIGINT) AS position, sequence_number, array_to_string(empty, ',') AS empty_fields FROM g4 WHERE len(empty) > 0""",
     "a8_conclusion_by_clause": f"""WITH {ctes('inspection_items')}, {FLAGS},
 g0 AS (SELECT *, last_value(seq IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS group_seq FROM f),
 c AS (SELECT report_id, group_seq, standard_clause, bool_or(contains(test_result, '不符合')) AS fails, bool_and(test_result IN ('——', '/', '-', '—', '')) AS idle, coalesce(arg_min(item_conclusion, position) FILTER (item_conclusion <> ''), '') AS actual

@@ -62,16 +62,44 @@ SELECT report_id AS table_id, position AS row_no, c.col_no, CASE
  WHEN c.col_no = 2 THEN CASE WHEN remark = '' THEN '' ELSE standard_requirement END
  ELSE CASE WHEN test_result = '' THEN '' ELSE '±5%' END END AS text
 FROM inspection_items i CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3)) v(col)) c
+""",
+    "report_cells": """
+SELECT report_id, page_no, CAST(1 AS INT) AS table_no, CAST(0 AS INT) AS row_no, c.col_no,
+ CASE c.col_no WHEN 0 THEN '序 号' WHEN 1 THEN '检验项目' WHEN 2 THEN '标准条款' WHEN 3 THEN '标准要求' WHEN 4 THEN '检验结果' WHEN 5 THEN CASE WHEN report_id % 11 = 0 THEN '结论' ELSE '单项结论' END ELSE '备注' END AS text,
+ report_id % 3 <> 0 AS has_headers
+FROM (SELECT DISTINCT report_id, source_page AS page_no FROM inspection_items) i CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) v(col)) c
+UNION ALL
+SELECT report_id, source_page AS page_no, CAST(1 AS INT) AS table_no, CAST(row_index_in_page + 1 AS INT) AS row_no, c.col_no,
+ CASE c.col_no WHEN 0 THEN concat(' ', sequence_number) WHEN 1 THEN CASE WHEN position % 5 = 4 THEN '' WHEN position % 7 = 6 THEN concat('a) ', inspection_project) ELSE inspection_project END
+  WHEN 2 THEN standard_clause WHEN 3 THEN standard_requirement WHEN 4 THEN test_result WHEN 5 THEN item_conclusion ELSE remark END AS text,
+ report_id % 3 <> 0 AS has_headers
+FROM inspection_items i CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) v(col)) c
+""",
+    "sample_cells": """
+SELECT report_id, CAST(2 AS INT) AS page_no, CAST(1 AS INT) AS table_no, CAST(0 AS INT) AS row_no, c.col_no,
+ CASE c.col_no WHEN 0 THEN '序号' WHEN 1 THEN CASE WHEN report_id % 13 = 0 THEN '说明' WHEN report_id % 2 = 0 THEN ' 部件名称' ELSE '产品名称' END WHEN 2 THEN CASE WHEN report_id % 3 = 0 THEN '型号' ELSE '规格型号' END
+  WHEN 3 THEN CASE WHEN report_id % 5 = 0 THEN 'LOT' ELSE '序列号/批号' END WHEN 4 THEN '生产日期' WHEN 5 THEN CASE WHEN report_id % 17 = 0 THEN '生产日期' ELSE '其他' END ELSE '备注' END AS text
+FROM (SELECT DISTINCT report_id FROM components) r CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) v(col)) c
+UNION ALL
+SELECT report_id, CAST(2 AS INT) AS page_no, CAST(1 AS INT) AS table_no, CAST(component_id AS INT) AS row_no, c.col_no,
+ CASE c.col_no WHEN 0 THEN CAST(component_id AS STRING) WHEN 1 THEN CASE WHEN component_id % 29 = 0 THEN ' ' ELSE component_name END WHEN 2 THEN concat(model_spec, ' ') WHEN 3 THEN serial_lot WHEN 4 THEN production_date WHEN 5 THEN 'x' ELSE remark END AS text
+FROM components i CROSS JOIN (SELECT CAST(col AS INT) AS col_no FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) v(col)) c
+""",
+    "label_texts": """
+SELECT report_id, label_id, concat(raw_caption, '\n', CASE label_id % 3 WHEN 0 THEN '规格型号：' WHEN 1 THEN 'Model ' ELSE '型号规格\n' END, model_spec, '\n',
+ CASE WHEN batch_number = '' THEN '批号：-' WHEN label_id % 4 = 0 THEN concat('LOT: ', batch_number) ELSE concat('生产批号：', batch_number) END, '\n生产日期 ', replace(replace(production_date, '.', '-'), '/', '-'),
+ '\n(21)SN', CAST(label_id AS STRING), '(17)', CASE WHEN label_id % 2 = 0 THEN '281231' ELSE '289931' END, '(10)B', CAST(report_id AS STRING)) AS text
+FROM labels_ocr l
 """,
     "ptr_lines": """
 SELECT report_id AS ptr_id, source_page AS page_no, CAST(row_index_in_page * 3 + k.n AS INT) AS line_no, CASE k.n
- WHEN 0 THEN concat(CASE WHEN position % 7 = 0 THEN '3.1' ELSE standard_clause END, CASE WHEN position % 2 = 0 THEN ' ' ELSE '．' END, inspection_project)
+ WHEN 0 THEN concat(CASE WHEN position % 7 = 0 THEN '3.1' ELSE standard_clause END, CASE WHEN position % 2 = 0 THEN ' ' ELSE '．' END, CASE WHEN (report_id + position) % 23 = 0 THEN '附录 ' WHEN (report_id + position) % 29 = 0 THEN '注：' WHEN (report_id + position) % 31 = 0 THEN '图1 ' ELSE '' END, inspection_project)
  WHEN 1 THEN CASE WHEN position % 4 = 3 THEN concat('2/', CAST(source_page AS STRING)) ELSE concat(standard_requirement, '，见表', CAST(position % 3 + 1 AS STRING)) END
  ELSE CASE WHEN position % 5 = 0 THEN '' ELSE concat('a) ', standard_requirement) END END AS line
 FROM inspection_items CROSS JOIN (SELECT CAST(n AS INT) AS n FROM (VALUES (0), (1), (2)) v(n)) k
 """,
 }
-NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"]}
+NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"], "report_cells": ["inspection_items"], "sample_cells": ["components"], "label_texts": ["labels_ocr"]}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -187,6 +187,8 @@ SELECT conv_id AS report_id, CAST(lo AS BIGINT) AS first_number, CAST(hi AS BIGI
  count(*) FILTER (col_no = 0 AND row_no > 0) AS n_rows FROM cells GROUP BY table_id) SELECT *, header_blanks * 2 > n_cols AS sparse_header, header_blanks * 2 > n_cols OR first_column_blanks * 2 > n_rows AS suspicious FROM n""",
     "t19_clauses": f"WITH {ctes('ptr_lines')}, {LINES} SELECT * FROM clauses",
     "t20_dedup_clauses": f"WITH {ctes('ptr_lines')}, {LINES} SELECT * FROM dd",
+    "a15_clause_types": f"""WITH {ctes('ptr_lines')}, {LINES}, k AS (SELECT regexp_replace(text_content, '\\s+', '', 'g') AS t FROM dd)
+SELECT CASE WHEN starts_with(t, '附录') THEN 'appendix' WHEN starts_with(t, '注') OR regexp_matches(t, '^图[0-9]') THEN 'note' ELSE 'main_requirement' END AS clause_type, count(*) AS n FROM k GROUP BY ALL""",
     "t21_table_refs": f"WITH {ctes('ptr_lines')}, {LINES} SELECT DISTINCT ptr_id, number_str, CAST(unnest(regexp_extract_all(text_content, '表\\s*(\\d+)', 1)) AS BIGINT) AS table_number FROM dd",
     "t21_sub_items": f"""WITH {ctes('ptr_lines')}, {LINES},
 e AS (SELECT ptr_id, number_str, unnest(range(0, len(string_split(text_content, chr(10))))) AS line_no, unnest(string_split(text_content, chr(10))) AS line FROM dd)

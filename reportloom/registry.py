@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import checks, documents
+from .plans import checks, documents, intake
 
-MODULES = (checks, documents)
+MODULES = (checks, documents, intake)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
