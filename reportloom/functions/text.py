@@ -71,6 +71,12 @@ def said(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def computed(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """df with the columns made, each computed once a row: filters and joins read them, and none is pushed into their expressions, as it would be through a projection."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    return df.select(*rest, F.explode(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias("_made")).select(*rest, "_made.*")
+
+
 def replaced(col: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, col)
 
