@@ -92,3 +92,101 @@ def clause_slice(df: DataFrame, text_col: str, number_col: str, out: str = "slic
     begin = F.regexp_instr(said(text_col), F.concat(F.lit(r"(?m)^\s*"), bare, F.lit(r"(?![\d])(?!\.\d)")))
     rest = F.regexp_replace(F.substring(said(text_col), begin, F.length(said(text_col))), r"^\s*\d+(?:\.\d+)*[.．、]?\s*", "")
     return df.withColumn(out, F.when((said(number_col) != "") & (begin > 0), strip(F.regexp_replace(rest, r"(?m)^\s*\d+(?:\.\d+)+[\s\S]*", ""))))
+
+
+# What makes the first cell a model, labels of conditions, and units that stand alone.
+MODEL_CELL = r"全部型号|Edora|(?i:SR|DR)(?i:-T)?$"
+CONDITION = r"^@|^(?:条件|负载|工况|模式|温度|频率|压力|流量)[:：@]"
+MEASURE = r"(?i)^@?[-+]?\d+(?:\.\d+)?(?:Ω|ohm|V|A|Hz|kHz|MHz|ms|μs|℃|°C|N|g|kg)(?![\p{L}\p{N}_])"
+UNIT_LINE = r"(?i)^(?:单位[:：])?(?:μs|ms|s|Ω|V|A|Hz|kHz|MHz|℃|°C|N|g|kg|mL|mm|cm)$"
+PARAMETER_WORDS, SETTING_WORDS = "频率|灵敏度|不应期|间期|阻抗|空白期|模式|幅度|宽度|保护", "(?i)标准设置|允许误差|AUTO|不适用|Edora|全部型号|ms|mV|bpm|Ω"
+
+
+def repair_parameter_rows(rows: DataFrame) -> DataFrame:
+    """Rows (table_id, row_no, values, is_header) of parameter tables with shifted rows repaired and all rows of the table's width.
+
+    A row that starts with a model below a parameter has lost its first cell: it moves right by one and gets the last parameter. A row with a blank first cell and
+    any other text gets it too. Header rows, and tables of fewer than four columns, stay as they are. The last parameter is carried by a window, so rows go one by one nowhere.
+    """
+    table, order = W.partitionBy("table_id"), W.partitionBy("table_id").orderBy("row_no")
+    width = F.max(F.size("values")).over(table)
+    padded = F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: strip(F.coalesce(F.get("values", i), F.lit(""))))
+    out = rows.withColumn("_w", width).withColumn("_v", padded)
+    first = F.get("_v", F.lit(0))
+    out = out.withColumn("_first", F.when(~F.col("is_header") & (first != ""), first))
+    seen = F.last("_first", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).isNotNull()
+    model = F.rlike(compact("_first"), F.lit(MODEL_CELL))
+    out = out.withColumn("_shifts", F.coalesce(model & seen, F.lit(False)))
+    above = F.last(F.when(~F.col("_shifts"), F.col("_first")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rest = F.slice("_v", F.lit(2), F.col("_w"))
+    lost = F.col("_first").isNull() & ~F.col("is_header") & above.isNotNull() & F.exists(rest, lambda x: x != "")
+    fixed = F.when(F.col("_shifts"), F.concat(F.array(above), F.slice("_v", F.lit(1), F.col("_w") - 1))).when(lost, F.concat(F.array(above), rest)).otherwise(F.col("_v"))
+    return out.withColumn("values", F.when(F.col("_w") < 4, F.col("values")).otherwise(fixed)).drop("_w", "_v", "_first", "_shifts")
+
+
+def condition_rows(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, nth, condition, result): each condition of a text and the lines below it up to the next, without units; conditions without a result, and what stands before the first, are left out."""
+    lines = texts.select(id_col, F.posexplode(F.filter(F.transform(F.split(said(text_col), "\n", -1), strip), lambda x: x != "")).alias("line_no", "line"))
+    label = F.rlike(compact("line"), F.lit(CONDITION)) | F.rlike("line", F.lit(MEASURE))
+    order = W.partitionBy(id_col).orderBy("line_no")
+    rows = lines.withColumn("_label", label).withColumn("nth", F.sum(F.col("_label").cast("int")).over(order)).filter("nth > 0")
+    kept = ~F.col("_label") & ~F.contains("line", F.lit("单位")) & ~F.rlike(compact("line"), F.lit(UNIT_LINE))
+    parts = F.array_sort(F.collect_list(F.when(kept, F.struct("line_no", "line"))))
+    out = rows.groupBy(id_col, "nth").agg(F.max(F.when(F.col("_label"), F.col("line"))).alias("condition"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("result"))
+    return out.filter("result <> ''").withColumn("nth", F.row_number().over(W.partitionBy(id_col).orderBy("nth")))
+
+
+def inline_summary_rows(df: DataFrame, text_col: str, out: str = "summary_rows", rows: int = 6) -> DataFrame:
+    """Df with the first few lines of a text from the first that says 表 on (from its start without one); long lines count only if they name a table, a component or an item."""
+    lines = F.filter(F.transform(F.split(said(text_col), "\n", -1), lambda x: strip(normalize(x))), lambda x: x != "")
+    begin = F.greatest(F.array_position(F.transform("_l", lambda x: F.contains(x, F.lit("表"))), True), F.lit(1)).cast("int")
+    short = lambda x: (F.length(compact(x)) <= 40) | F.rlike(x, F.lit("表|组件|项目"))
+    kept = F.filter(F.slice("_l", begin, F.size("_l") + 1), short)
+    return df.withColumn("_l", lines).withColumn(out, F.slice(kept, 1, rows)).drop("_l")
+
+
+def table_summary_rows(cells: DataFrame, rows: int = 5, width: int = 4) -> DataFrame:
+    """(table_id, row_no, summary) of the first few rows of each table: their first few cells with a text, normalised. cells: table_id, row_no, col_no, text; rows without text are left out but count."""
+    nth = F.dense_rank().over(W.partitionBy("table_id").orderBy("row_no"))
+    filled = cells.withColumn("_nth", nth).filter(F.col("_nth") <= rows).filter(strip(said("text")) != "")
+    line = F.array_sort(F.collect_list(F.struct("col_no", normalize("text").alias("t"))))
+    return filled.groupBy("table_id", "row_no").agg(F.array_join(F.transform(F.slice(line, 1, width), lambda x: x["t"]), " / ").alias("summary"))
+
+
+def best_summary_item(refs: DataFrame, items: DataFrame) -> DataFrame:
+    """The report row of each table reference (refs: ptr_id, report_id, number_str, table_number, text_content, fallback) with the highest score, the first of equals; the fallback if the report has no rows.
+
+    Scores: 10 equal clause column, 8 its number in the texts, 4 the table's label, 3 the title in the texts, 2 the title is the project, 1 the texts begin with it.
+    The title is the clause's first topic, else its first line. References meet the rows of their report only.
+    """
+    title = compact(F.coalesce(F.get(topics("text_content"), F.lit(0)), F.get(F.split(normalize("text_content"), "\n"), F.lit(0))))
+    key = ["ptr_id", "report_id", "number_str", "table_number"]
+    asked = refs.select(*key, "fallback", title.alias("_title"))
+    text = F.concat_ws("\n", *[F.nullif(said(c), F.lit("")) for c in ("inspection_project", "standard_requirement", "test_result")])
+    rows = items.select("report_id", "position", F.regexp_extract(said("standard_clause"), r"(\d+(?:\.\d+)+)", 1).alias("_clause"), compact(normalize(text)).alias("_text"), compact("inspection_project").alias("_project"))
+    met = asked.join(rows, "report_id")
+    named = F.col("_title") != ""
+    points = (
+        (F.col("_clause") == F.col("number_str"), 10), (F.contains("_text", "number_str"), 8), (F.contains("_text", F.concat(F.lit("表"), F.col("table_number").cast("string"))), 4),
+        (named & F.contains("_text", "_title"), 3), (named & (F.col("_project") == F.col("_title")), 2), (F.startswith("_text", "_title"), 1),
+    )
+    score = sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0))
+    best = met.withColumn("score", score).groupBy(*key).agg(F.max(F.struct("score", (-F.col("position")).alias("p"))).alias("b"))
+    return asked.select(*key, "fallback").join(best, key, "left").select(*key, F.coalesce(-F.col("b.p"), F.col("fallback")).alias("position"), F.col("b.score").alias("score"))
+
+
+def continuation_candidates(tables: DataFrame, pages: int = 3) -> DataFrame:
+    """(ptr_id, base_id, table_id): unnumbered parameter tables on the few pages after a numbered one and before the next numbered table.
+
+    tables: ptr_id, table_id, page_no, page_end, table_number, blob (the table's text). The page of the next number comes from a window, so tables meet only over the few pages.
+    """
+    t = tables.withColumn("_end", F.coalesce("page_end", "page_no"))
+    base = t.filter("table_number is not null")
+    later = base.select("ptr_id", F.col("page_no").alias("_next")).distinct()
+    reach = F.explode(F.sequence(F.col("_end") + 1, F.col("_end") + pages)).alias("page_no")
+    spans = base.select("ptr_id", F.col("table_id").alias("base_id"), "_end", reach)
+    stop = spans.join(later.withColumnRenamed("_next", "page_no"), ["ptr_id", "page_no"], "left_semi").groupBy("ptr_id", "base_id").agg(F.min("page_no").alias("_stop"))
+    open_pages = spans.join(stop, ["ptr_id", "base_id"], "left").filter("_stop is null or page_no < _stop")
+    blob = compact("blob")
+    fits = t.filter("table_number is null").filter(F.rlike(blob, F.lit(PARAMETER_WORDS)) & F.rlike(said("blob"), F.lit(SETTING_WORDS)))
+    return open_pages.join(fits.select("ptr_id", "table_id", "page_no"), ["ptr_id", "page_no"]).select("ptr_id", "base_id", "table_id")

@@ -95,3 +95,38 @@ def test_clause_slices(spark):
     df = spark.createDataFrame([(text, "2.1"), (text, "2.10"), (text, "2.2"), (text, "2.3"), (None, "2.1"), (text, None)], "t string, n string")
     assert [r["slice"] for r in evidence.clause_slice(df, "t", "n").collect()] == ["甲\n乙", "丙", "戊", None, None, None]
     assert evidence.clause_slice(df.limit(0), "t", "n").filter(F.col("slice").isNotNull()).count() == 0
+
+
+def test_parameter_row_repair(spark):
+    given = {
+        1: [(["参数", "型号", "值", "误差"], True), (["幅度", "Evia DR", "5", "±1"], False), (["Evia SR-T", "6", "±2"], False), (["", "x", "7", ""], False), (["", "", "", ""], False), (["宽度", "全部型号", "1", "2"], False)],
+        2: [(["Evia DR", "1", "2", "3"], False), (["Evia SR", "4", "5", "6"], False)], 3: [(["a", "b"], False), (["", "c"], False)],
+    }
+    df = spark.createDataFrame([(t, k, v, h) for t, rows in given.items() for k, (v, h) in enumerate(rows)], "table_id long, row_no int, values array<string>, is_header boolean")
+    got = {}
+    for r in evidence.repair_parameter_rows(df).orderBy("table_id", "row_no").collect():
+        got.setdefault(r["table_id"], []).append(r["values"])
+    assert got == {
+        1: [["参数", "型号", "值", "误差"], ["幅度", "Evia DR", "5", "±1"], ["幅度", "Evia SR-T", "6", "±2"], ["幅度", "x", "7", ""], ["", "", "", ""], ["宽度", "全部型号", "1", "2"]],
+        2: [["Evia DR", "1", "2", "3"], ["Evia DR", "Evia SR", "4", "5"]], 3: [["a", "b"], ["", "c"]],
+    }
+
+
+def test_conditions_and_summaries(spark):
+    df = spark.createDataFrame([(1, "前言\n@240Ω\n单位：V\n5.1\n5.2\nms\n负载：大\n7\n500Ω 时\n\n8"), (2, None), (3, "温度：高\n单位：V")], "id int, t string")
+    assert [tuple(r) for r in evidence.condition_rows(df, "id", "t").orderBy("nth").collect()] == [(1, 1, "@240Ω", "5.1\n5.2"), (1, 2, "负载：大", "7"), (1, 3, "500Ω 时", "8")]
+    texts = spark.createDataFrame([("前言\n见表1\na\nb\n" + "长" * 41 + "\n" + "长" * 41 + "项目\nc\nd\ne\nf",), ("x\ny",), (None,)], "t string")
+    assert [r["summary_rows"] for r in evidence.inline_summary_rows(texts, "t").collect()] == [["见表1", "a", "b", "长" * 41 + "项目", "c", "d"], ["x", "y"], []]
+    table = spark.createDataFrame([(1, r, c, x) for r, row in enumerate([["a", "", "b", "c", "d", "e"], ["", ""], ["f"], ["g"], ["h"], ["i"]]) for c, x in enumerate(row)], "table_id int, row_no int, col_no int, text string")
+    assert [tuple(r) for r in evidence.table_summary_rows(table).orderBy("row_no").collect()] == [(1, 0, "a / b / c / d"), (1, 2, "f"), (1, 3, "g"), (1, 4, "h")]
+
+
+def test_summary_items_and_continuations(spark):
+    refs = spark.createDataFrame([(1, 1, "2.1", 3, "脉冲宽度：见表3", 0), (1, 1, "2.9", 8, "别的", 2), (1, 9, "2.1", 3, "x", 7)], "ptr_id long, report_id long, number_str string, table_number int, text_content string, fallback int")
+    rows = [(1, 0, "1", "脉冲宽度", "2.2", "", "", ""), (1, 1, "2", "脉冲宽度", "2.1", "符合表3", "", ""), (1, 2, "3", "y", "2.1", "", "", "")]
+    got = {(r["report_id"], r["number_str"]): (r["position"], r["score"]) for r in evidence.best_summary_item(refs, spark.createDataFrame(rows, ITEM)).collect()}
+    assert got == {(1, "2.1"): (1, 20), (1, "2.9"): (0, 0), (9, "2.1"): (7, None)}
+    good = "脉冲幅度 标准设置 5"
+    tables = [(1, 1, 2, 3, 1, "x"), (1, 2, 4, None, None, good), (1, 3, 5, None, None, "文字"), (1, 4, 6, None, 2, "x"), (1, 5, 6, None, None, good), (1, 6, 9, None, None, good), (1, 7, 10, None, None, good), (2, 8, 4, None, None, good)]
+    found = evidence.continuation_candidates(spark.createDataFrame(tables, "ptr_id long, table_id long, page_no int, page_end int, table_number int, blob string")).collect()
+    assert {tuple(r) for r in found} == {(1, 1, 2), (1, 4, 6)}
