@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, document_key, packed, small, text_of
+from .common import BROADCAST_BYTES, cut, document_key, packed, small, text_of
 from .textnum import ODD, SOLID, U, Block, blocks, mix, sequence_hash
 
 SHINGLE = 5
@@ -300,24 +300,26 @@ def enough(pairs: DataFrame, slack: DataFrame) -> DataFrame:
     return pairs.filter(F.col("n") > F.greatest("slack_a", "slack_b")).select("a", "b")
 
 
-def dealt(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges with the m of their u. A hub's edges are dealt out by the other end; least, a row a node, goes to each of the SALTS parts."""
+def with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """edges with the m of their u. Of few edges least is broadcast; else a hub's edges are dealt out by the other end, and least, a row a node, goes to each of the SALTS parts."""
+    if few:
+        return edges.join(F.broadcast(least), "u")
     part = F.pmod(F.xxhash64("v"), F.lit(SALTS))
     return edges.withColumn("part", part).join(least.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))), ["u", "part"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node: root is the smallest node that links reach. Alternates large and small stars until nothing changes."""
+    """(node, root) of every linked node: root is the smallest node that links reach. Alternates large and small stars until only stars are left: no node has two roots or is one beside having one."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = None
-    while (now := digest(edges)) != before:
-        before = now
+    few = edges.count() * 64 <= BROADCAST_BYTES  # no step makes more edges
+    end = lambda c, low: F.struct(F.col(c).alias("node"), F.lit(low).alias("low"), F.lit(1 - low).alias("top"))
+    ends = lambda e: e.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("x")).select("x.*")
+    while not ends(edges).groupBy("node").agg(F.sum("low").alias("low"), F.max("top").alias("top")).filter("low > 1 or (low = 1 and top = 1)").isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = dealt(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = with_least(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = dealt(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        star = with_least(large, least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(star.filter("u <> v").distinct(), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -352,16 +354,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and always linked. Nulls among the ids count for nothing in component_id, which is null only where no id is reached. Texts of any length are taken whole.
     """
     facts, roots = linked(docs, id_col, text_col)
-    ids = facts.filter("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = cut(ids, "ids")
-    least = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = ids.join(least, "root").select("node", "component_id")
+    ids = cut(facts.filter("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("low")), "ids")
+    tops = roots.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
+    least = ids.join(roots.unionByName(tops), "node").groupBy("root").agg(F.min("low").alias("m"))
+    few = roots.count() * 64 <= BROADCAST_BYTES
+    below = with_least(roots.select(F.col("root").alias("u"), F.col("node").alias("v")), least.withColumnRenamed("root", "u"), few).select(F.col("v").alias("node"), "m")
+    linked_ids = below.unionByName(least.select(F.col("root").alias("node"), "m"))
+    named = ids.join(linked_ids, "node", "left").select("node", F.coalesce("m", "low").alias("component_id"))
     out = facts.join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), "doc_key", "text_key", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; one without shingles, as of a null text, is alone."""
     return near_components(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
