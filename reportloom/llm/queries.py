@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, quality_model, quality_rules, secret_scan
+from . import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, quality_model, quality_rules, secret_scan, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op8_language_id": lambda spark, d: language_id.language_predictions(table(spark, d, "documents")),
         "op9_quality_model": lambda spark, d: quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_jaccard_join": lambda spark, d: jaccard_join.near_digest(table(spark, d, "documents")),
+        "op11_whitening": lambda spark, d: whitening.whitening_digest(table(spark, d, "embeddings")),
     }
 
 
