@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, quality_model, quality_rules, secret_scan, whitening
+from . import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, merkle, quality_model, quality_rules, secret_scan, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,8 +23,9 @@ def queries() -> dict:
         "op9_quality_model": lambda spark, d: quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_jaccard_join": lambda spark, d: jaccard_join.near_digest(table(spark, d, "documents")),
         "op11_whitening": lambda spark, d: whitening.whitening_digest(table(spark, d, "embeddings")),
+        "op13_merkle_manifest": lambda spark, d: merkle.manifest_digest(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.DIGEST_SQL, "op4_line_dedup": line_dedup.DIGEST_SQL, "op7_quality_rules": quality_rules.VERDICTS_SQL}
+    return {"op2_decontaminate": decontaminate.DIGEST_SQL, "op4_line_dedup": line_dedup.DIGEST_SQL, "op7_quality_rules": quality_rules.VERDICTS_SQL, "op13_merkle_manifest": merkle.DIGEST_SQL}
