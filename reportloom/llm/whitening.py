@@ -15,7 +15,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -99,6 +99,20 @@ def covariance(n: int, rest: list[int], squares: list[int]) -> np.ndarray:
     return out
 
 
+def eigen(spark: SparkSession, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and unit eigenvectors (columns), by eigh in a task: the threads of a linear-algebra library can hang in a driver that has started a JVM."""
+    n = len(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                values, vectors = np.linalg.eigh(np.frombuffer(raw).reshape(n, n))
+                yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()]), pa.array([np.ascontiguousarray(vectors).tobytes()])], ["values", "vectors"])
+
+    row = spark.createDataFrame([(v.tobytes(),)], "v binary").coalesce(1).mapInArrow(run, "values binary, vectors binary").first()
+    return np.frombuffer(row["values"]), np.frombuffer(row["vectors"]).reshape(n, n)
+
+
 @dataclass(frozen=True)
 class Whitening:
     """n distinct vectors of d dimensions; their mean is floor + rest / n. components has one column for each eigenvalue."""
@@ -149,7 +163,7 @@ def fit_whitening(df: DataFrame, vector_col: str = "embedding", components: int
     sums = [s + n * SHIFT for s in totals(fit, [SHIFT] * d, plain_sums)]
     floor, rest = [s // n for s in sums], [s % n for s in sums]
     v = covariance(n, rest, totals(fit, floor, square_sums))
-    values, vectors = np.linalg.eigh(v)
+    values, vectors = eigen(df.sparkSession, v)
     order = np.argsort(values)[::-1][:components]
     order = order[values[order] > FLAT * max(values.max(), 0.0)]
     model = Whitening(n, floor, rest, values[order], vectors[:, order], float(np.trace(v)))
