@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, merkle, quality_model, quality_rules, secret_scan, whitening
+from . import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, quality_model, quality_rules, secret_scan, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def queries() -> dict:
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op9_quality_model": lambda spark, d: quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_jaccard_join": lambda spark, d: jaccard_join.near_digest(table(spark, d, "documents")),
         "op11_whitening": lambda spark, d: whitening.whitening_digest(table(spark, d, "embeddings")),
+        "op12_packing": lambda spark, d: packing.packing_digest(table(spark, d, "documents"), public_tokenizers.path(WORDS)),
         "op13_merkle_manifest": lambda spark, d: merkle.manifest_digest(table(spark, d, "documents")),
     }
 
