@@ -16,15 +16,15 @@ Tasks number their own rows; only counts by class, the sums of at most BUCKETS r
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,28 +35,14 @@ from .common import cut, small, text_of
 
 CAPACITY, WIDTH = 4_096, 32  # tokens of a sequence, and of a class
 END = 2  # the id behind every document
-REMEMBERED = 500_000
+REMEMBERED = 250_000  # words, in each of two generations
+TEXTS = 200  # that a task encodes at once
 BUCKETS = 4_096
 STRETCH = 16_384  # tokens of the stream of cut documents that are matched to gaps at once
 RANK_BITS = 55
 
 
-class Remembered(dict):
-    """What encode gives for a key, remembered up to a bound."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.encode(key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = found
-        return found
-
-
-def word_pattern(config: dict) -> regex.Pattern | None:
+def word_pattern(config: dict) -> str | None:
     """The pattern of the words that a tokenizer encodes one by one, if no word spans white space and case and Unicode form are all that it changes before."""
     steps = (config.get("normalizer") or {}).get("normalizers") or []
     before = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -65,34 +51,88 @@ def word_pattern(config: dict) -> regex.Pattern | None:
     plain = kinds == (["NFC", "Replace", "Lowercase"], ["ByteLevel"]) and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
     if not plain or config.get("post_processor") or any(re.search(r"\s", t["content"]) for t in config["added_tokens"]):
         return None
-    return regex.compile(split["pattern"]["Regex"])
+    return split["pattern"]["Regex"]
+
+
+class Remembered:
+    """Values by key in two generations: when the younger has REMEMBERED, the older goes."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; all that are stand in young from now on."""
+        if len(self.young) + len(keys) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        left = [k for k in keys if k not in self.young]
+        self.young.update((k, self.old[k]) for k in left if k in self.old)
+        return [k for k in left if k not in self.old]
 
 
 class Coder:
-    """Ids of texts as bytes, so many a token. Texts are encoded by what stands between blanks, and that, if plain ASCII, by word; else whole."""
+    """Ids of texts as bytes, so many a token. Texts are encoded by word where they are plain; what stands between blanks and is not plain is encoded whole."""
 
-    PLAIN = re.compile(r"[!-~]+")
+    #: What is not printable ASCII, a line feed or a precomposed Latin letter: for all these, no rule of Unicode joins, reorders or takes apart any.
+    ODD = re.compile(r"[^ -~\nÀ-įĲ-ſ]")
+    LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"  # all letters among them; their only digits are ASCII's
+    WHOLE = "\0"  # leads the key of what is encoded whole
+    TOGETHER = 256  # words that are encoded as one text
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         config = json.loads(file)
         self.tokenizer = Tokenizer.from_str(file)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.pattern = word_pattern(config)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        pattern, suffix = word_pattern(config), config["model"].get("end_of_word_suffix")
+        classes = ((r"\p{L}", self.LETTERS), (r"\p{N}", "0-9"))
+        self.pattern = re.compile(reduce(lambda p, c: p.replace(*c), classes, pattern)) if pattern and suffix else None
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.special = [t["content"] for t in config["added_tokens"]]
-        self.words, self.parts = Remembered(self.whole), Remembered(self.by_word)
+        self.known = Remembered()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def by_word(self, part: str) -> bytes:
-        if not self.PLAIN.fullmatch(part) or any(s in part for s in self.special):
-            return self.whole(part)
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(part.lower())))
-
-    def encode(self, text: str) -> bytes:
+    def odd(self, text: str) -> bool:
+        return self.ODD.search(text) is not None or any(x in text for x in self.special)
+
+    def keys(self, text: str) -> list[str]:
+        """What a text is encoded by: its words in lower case, and parts to be encoded whole."""
+        if not self.odd(text):
+            return self.pattern.findall(text.lower())
+        out: list[str] = []
+        for part in text.replace("\n", " ").split(" "):
+            if self.odd(part):
+                out.append(self.WHOLE + part)
+            else:
+                out += self.pattern.findall(part.lower())
+        return out
+
+    def learn(self, keys: set[str]) -> None:
+        """Words are encoded many at a time; the marks of word ends tell their ids apart."""
+        new = self.known.missing(keys)
+        found, words = self.known.young, [k for k in new if not k.startswith(self.WHOLE)]
+        found.update((k, self.whole(k[1:])) for k in new if k.startswith(self.WHOLE))
+        groups = [words[k : k + self.TOGETHER] for k in range(0, len(words), self.TOGETHER)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                raw, cuts = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+                found.update((w, raw[i:j]) for w, i, j in zip(group, [0, *cuts], cuts, strict=False))
+            else:
+                found.update((w, self.whole(w)) for w in group)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
-            return self.whole(text)
-        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+            return [self.whole(t) for t in texts]
+        keys = [self.keys(t) for t in texts]
+        self.learn(set().union(*keys))
+        known = self.known.young.__getitem__
+        return [b"".join(map(known, k)) for k in keys]
 
 
 @lru_cache(maxsize=2)
@@ -127,11 +167,11 @@ def tokenise(df: DataFrame, path: str, text_col: str = "text", capacity: int = C
         at = whole = 0
         places: dict[int, int] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                some = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(begin, TEXTS)
                 out: list[tuple] = []
-                for text in some.column(1).to_pylist():
-                    raw = made.encode(text) + close
+                for coded in made.encode(some.column(1).to_pylist()):
+                    raw = coded + close
                     ids = np.frombuffer(raw, dtype=made.kind)
                     n = len(ids)
                     full = n // capacity
