@@ -228,12 +228,20 @@ NUMBER = r"[-+]?\d+(?:\.\d+)?"
 CANDIDATE = rf"((?:[<>]=?|[≤≥])?\s*{NUMBER}(?:\s*(?:~|～|±)\s*\d+(?:\.\d+)?%?)?\s*(?:mA|mL|mm|ms|kHz|MHz|Hz|MΩ|kΩ|Ω|μs|μg/mL|℃|%|V|A|W)?)"
 
 
+EVIDENCE = rf"((?:[<>]=?)?\s*{NUMBER}(?:\s*[~～至到-]\s*{NUMBER})?(?:\s*±\s*\d+(?:\.\d+)?%?)?(?:\s*(?i:EU/套|mL|mm|cm|kHz|MHz|Hz|kg|ohm|Ω|°|EU|套|N|V|A|m|g))?)"
+
+
 def numeric_candidates(df: DataFrame, col: str) -> DataFrame:
     """One row a distinct numeric expression of the text, in order of first appearance (pos)."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(said(col), F.lit(CANDIDATE), F.lit(1)), F.trim))
     return df.select("*", F.posexplode(found).alias("pos", "candidate"))
 
 
+def candidates(text: Column) -> Column:
+    """The numeric expressions of a text, each once, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(replaced(text, [("[≤≦]", "<="), ("[≥≧]", ">=")]), F.lit(EVIDENCE), F.lit(1)), F.trim))
+
+
 def numbers_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(rf"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
 
@@ -278,6 +286,8 @@ def eval_constraint(df: DataFrame, expected: str, actual: str, out: str = "satis
     return df.withColumn(out, satisfies(F.col(expected), F.col(actual)))
 
 
+# Words of a bound, and its sign.
+BOUND_WORDS = (("不应超过|应不超过|不超过|应不大于|不大于|小于等于|应≤|≤|<=", "<="), ("应不小于|不小于|大于等于|应≥|≥|>=", ">="), ("应小于|小于|<", "<"), ("应大于|大于|>", ">"))
 PLACEHOLDERS = ("", "/", "—", "——", "-", "--")
 
 
@@ -296,6 +306,26 @@ def values_match(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("match_rule", rule).withColumn("match", F.col("match_rule").isNotNull())
 
 
+def agree(a: Column, b: Column) -> Column:
+    """N19 of two values that are normalised already: both placeholders, equal but for white space, one meets the other's constraint, the same numbers, or equal without units."""
+    ca, cb = compact(a), compact(b)
+    bare = lambda c: F.regexp_replace(c, "[A-Za-zμΩ/%]+", "")
+    meets = lambda x, y: F.coalesce(satisfies(x, y), F.lit(False))
+    blank = strip(a).isin(*PLACEHOLDERS) & strip(b).isin(*PLACEHOLDERS)
+    numbers = (F.size(numbers_of(ca)) > 0) & (numbers_of(ca) == numbers_of(cb))
+    return blank | (ca == cb) | meets(a, b) | meets(b, a) | numbers | ((bare(ca) != "") & (bare(ca) == bare(cb)))
+
+
+def numeric_expectation(text: Column) -> Column:
+    """What a normalised requirement demands of a number: a tolerance, a range or a bound (<=20Ω), without white space; empty if nothing."""
+    value = rf"{NUMBER}(?:[A-Za-zμΩ°/套]+)?"
+    found = lambda pattern: compact(F.regexp_extract(text, f"({pattern})", 1))
+    bound = lambda words: compact(F.regexp_extract(text, rf"(?:{words})\s*({value})", 1))
+    bounds = [F.when(bound(words) != "", F.concat(F.lit(sign), bound(words))) for words, sign in BOUND_WORDS]
+    tolerance, span = found(rf"{value}\s*±\s*{NUMBER}(?:%|[A-Za-zμΩ°/套]+)?"), found(rf"{value}\s*[~～至到-]\s*{value}")
+    return F.coalesce(F.nullif(tolerance, F.lit("")), F.nullif(span, F.lit("")), *bounds, F.lit(""))
+
+
 def code_class(col: Column | str) -> Column:
     """A code with one representative for each group of confusable characters."""
     return F.translate(F.upper(compact(col)), "OIL|SB", "011158")

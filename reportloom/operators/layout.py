@@ -108,6 +108,27 @@ GOES_ON = (
 HIGH, LOW = 0.25, 0.7  # shares of a page's height
 
 
+FRAGMENT = ("page_no", "y0", "y1", "height", "table_number", "n_cols", "headers", "paths", "is_parameter")
+JOINS = ("same_number", *[name for name, _ in GOES_ON])
+
+
+def continuation_reason(before: Column, here: Column) -> Column:
+    """Why a fragment (struct of FRAGMENT) goes on from the table before it, or why not; before is null for the first."""
+    b, h = (lambda c, side=side: side[c] for side in (before, here))
+    evidence = {
+        "alike": structure(h("headers"), b("headers")), "paths": overlap(h("paths"), b("paths")), "placed": (h("y0") < HIGH * h("height")) & (b("y1") > LOW * b("height")),
+        "overlap": F.greatest(overlap(h("headers"), b("headers")), overlap(h("paths"), b("paths"))), "parameters": h("is_parameter") & b("is_parameter"),
+    }
+    holds = lambda asked: reduce(lambda x, y: x & y, [evidence[k] if least is True else evidence[k] >= least for k, least in asked.items()])
+    joined = F.coalesce(*[F.when(holds(asked), F.lit(name)) for name, asked in GOES_ON])
+    gap, number, had = h("page_no") - b("page_no"), h("table_number"), b("table_number")
+    parted = {
+        "first": before.isNull(), "pages_apart": ~gap.between(0, 1), "no_columns": F.least(h("n_cols"), b("n_cols")) == 0, "columns_differ": F.abs(h("n_cols") - b("n_cols")) > 1,
+        "numbers_differ": number != had,
+    }
+    return F.coalesce(*[F.when(c, F.lit(name)) for name, c in parted.items()], F.when(number == had, "same_number"), F.when(number.isNotNull(), "own_number"), joined, F.when(had.isNull(), "no_number").otherwise("no_evidence"))
+
+
 def assess_continuation(tables: DataFrame) -> DataFrame:
     """Whether each table goes on from the one before it in its document (continues), and the reason.
 
@@ -115,29 +136,68 @@ def assess_continuation(tables: DataFrame) -> DataFrame:
     equal numbers join, different ones or a number of its own part, and without numbers the first rule of GOES_ON that holds joins.
     """
     order = W.partitionBy("ptr_id").orderBy("page_no", "y0")
-    kept = ("page_no", "y1", "height", "table_number", "n_cols", "headers", "paths", "is_parameter")
-    rows = tables.withColumn("p", F.lag(F.struct(*kept)).over(order))
-    evidence = {
-        "alike": structure(F.col("headers"), F.col("p.headers")), "paths": overlap(F.col("paths"), F.col("p.paths")), "placed": (F.col("y0") < HIGH * F.col("height")) & (F.col("p.y1") > LOW * F.col("p.height")),
-        "overlap": F.greatest(overlap(F.col("headers"), F.col("p.headers")), overlap(F.col("paths"), F.col("p.paths"))), "parameters": F.col("is_parameter") & F.col("p.is_parameter"),
-    }
-    rows = rows.withColumn("e", F.struct(*[v.alias(k) for k, v in evidence.items()]))
-    holds = lambda asked: reduce(lambda a, b: a & b, [F.col(f"e.{k}") if least is True else F.col(f"e.{k}") >= least for k, least in asked.items()])
-    joined = F.coalesce(*[F.when(holds(asked), F.lit(name)) for name, asked in GOES_ON])
-    gap, number, before = F.col("page_no") - F.col("p.page_no"), F.col("table_number"), F.col("p.table_number")
-    parted = {
-        "first": F.col("p").isNull(), "pages_apart": ~gap.between(0, 1), "no_columns": F.least("n_cols", "p.n_cols") == 0, "columns_differ": F.abs(F.col("n_cols") - F.col("p.n_cols")) > 1,
-        "numbers_differ": number != before,
-    }
-    reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in parted.items()], F.when(number == before, "same_number"), F.when(number.isNotNull(), "own_number"), joined, F.when(before.isNull(), "no_number").otherwise("no_evidence"))
-    return rows.withColumn("reason", reason).withColumn("continues", F.col("reason").isin("same_number", *[name for name, _ in GOES_ON])).drop("p", "e")
+    rows = tables.withColumn("p", F.lag(F.struct(*FRAGMENT)).over(order)).withColumn("h", F.struct(*FRAGMENT))
+    return rows.withColumn("reason", continuation_reason(F.col("p"), F.col("h"))).withColumn("continues", F.col("reason").isin(*JOINS)).drop("p", "h")
+
+
+def fold_continuations(tables: DataFrame) -> DataFrame:
+    """Tables, as for assess_continuation, with reason and continues, each held against the table *merged so far*, not against its neighbour.
+
+    A fragment that joins lends the merged table its number, headers and paths if that has none, its columns if it has more, and its last page; the place on
+    the page stays the first fragment's, but for fragments of one page. So a number that an earlier fragment had still counts behind one without. The fold runs over the slim list of a document's fragments, inside one
+    row of a document; cells are not touched.
+    """
+    fields = [f for f in tables.schema if f.name in ("table_id", *FRAGMENT)]
+    kind = lambda name: next(f.dataType.simpleString() for f in fields if f.name == name)
+    merged_type = "struct<first_page:int," + ",".join(f"{n}:{kind(n)}" for n in FRAGMENT) + ">"
+    start = F.struct(F.lit(None).cast(merged_type).alias("table"), F.array().cast(f"array<struct<table_id:{kind('table_id')},reason:string>>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def decided(reason: Column) -> Column:
+            b, joins = acc["table"], reason.isin(*JOINS)
+            same_page = x["page_no"] == b["first_page"]
+            filled = {
+                "page_no": F.greatest(b["page_no"], x["page_no"]), "y0": F.when(same_page, F.least(b["y0"], x["y0"])).otherwise(F.coalesce(b["y0"], x["y0"])), "y1": F.when(same_page, F.greatest(b["y1"], x["y1"])).otherwise(F.coalesce(b["y1"], x["y1"])),
+                "height": b["height"], "table_number": F.coalesce(b["table_number"], x["table_number"]), "n_cols": F.greatest(b["n_cols"], x["n_cols"]), "headers": F.when(F.size(b["headers"]) > 0, b["headers"]).otherwise(x["headers"]),
+                "paths": F.when(F.size(b["paths"]) > 0, b["paths"]).otherwise(x["paths"]), "is_parameter": F.when(F.size(b["headers"]) > 0, b["is_parameter"]).otherwise(x["is_parameter"]),
+            }
+            table = F.struct(F.when(joins, b["first_page"]).otherwise(x["page_no"]).cast("int").alias("first_page"), *[F.when(joins, filled[n]).otherwise(x[n]).cast(kind(n)).alias(n) for n in FRAGMENT])
+            return F.struct(table.alias("table"), F.concat(acc["done"], F.array(F.struct(x["table_id"].alias("table_id"), reason.alias("reason")))).alias("done"))
+
+        return F.get(F.transform(F.array(continuation_reason(acc["table"], x)), decided), F.lit(0))
+
+    place = F.struct("page_no", "y0", "table_id", F.struct("table_id", *FRAGMENT).alias("fragment"))
+    listed = tables.groupBy("ptr_id").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["fragment"]).alias("fragments"))
+    found = listed.select("ptr_id", F.explode(F.aggregate("fragments", start, step)["done"]).alias("d")).select("ptr_id", "d.*")
+    return tables.join(found, ["ptr_id", "table_id"]).withColumn("continues", F.col("reason").isin(*JOINS))
+
+
+def merge_cells(assessed: DataFrame, cells: DataFrame) -> DataFrame:
+    """The cells of merged tables: ptr_id, table_id (the first fragment's), row_no (counted through), col_no, text, page_no and from_row.
+
+    assessed is what fold_continuations or assess_continuation gives; cells has ptr_id, table_id, row_no, col_no and text. A later fragment's first row goes if
+    it repeats the merged table's headers, white space aside.
+    """
+    order = W.partitionBy("ptr_id").orderBy("page_no", "y0", "table_id")
+    parts = assessed.withColumn("island", F.sum((~F.col("continues")).cast("int")).over(order))
+    within = W.partitionBy("ptr_id", "island").orderBy("page_no", "y0", "table_id")
+    whole = within.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    headers = F.first(F.when(F.size("headers") > 0, F.array_join(F.transform("headers", compact), "|")), ignorenulls=True).over(whole)
+    parts = parts.select("ptr_id", "table_id", "page_no", "island", F.first("table_id").over(whole).alias("_base"), headers.alias("_headers"), F.row_number().over(within).alias("_part"))
+    rows = cells.groupBy("ptr_id", "table_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("_row"))
+    rows = rows.join(parts, ["ptr_id", "table_id"])
+    first = F.row_number().over(W.partitionBy("ptr_id", "table_id").orderBy("row_no")) == 1
+    said_row = F.array_join(F.transform("_row", lambda x: compact(F.coalesce(x["text"], F.lit("")))), "|")
+    rows = rows.withColumn("_again", first & (F.col("_part") > 1) & F.coalesce(said_row == F.col("_headers"), F.lit(False))).filter("not _again")
+    rows = rows.withColumn("_row_no", (F.row_number().over(W.partitionBy("ptr_id", "island").orderBy("_part", "row_no")) - 1).cast("int"))
+    return rows.select("ptr_id", F.col("_base").alias("table_id"), F.col("_row_no").alias("row_no"), F.explode("_row").alias("c"), "page_no", F.col("row_no").alias("from_row")).select("ptr_id", "table_id", "row_no", "c.col_no", "c.text", "page_no", "from_row")
 
 
 def merge_continuations(assessed: DataFrame) -> DataFrame:
-    """Merged tables of assess_continuation: the first fragment's id, the pages, and the first number and headers that a fragment has."""
-    order = W.partitionBy("ptr_id").orderBy("page_no", "y0").rowsBetween(W.unboundedPreceding, 0)
+    """Merged tables of fold_continuations (or assess_continuation): the first fragment's id, the pages, and the first number and headers that a fragment has."""
+    order = W.partitionBy("ptr_id").orderBy("page_no", "y0", "table_id").rowsBetween(W.unboundedPreceding, 0)
     rows = assessed.withColumn("island", F.sum((~F.col("continues")).cast("int")).over(order))
-    place = F.struct("page_no", "y0")
+    place = F.struct("page_no", "y0", "table_id")
     return rows.groupBy("ptr_id", "island").agg(
         F.min_by("table_id", place).alias("table_id"), F.array_sort(F.collect_set("page_no")).alias("pages"), F.count("*").alias("n_fragments"),
         F.min_by("table_number", F.when(F.col("table_number").isNotNull(), place)).alias("table_number"), F.min_by("headers", F.when(F.size("headers") > 0, place)).alias("headers"),

@@ -62,7 +62,7 @@ def c08_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c09_walk(spark: SparkSession, d: str) -> DataFrame:
-    return items.check_c09_walk(source(spark, d, "inspection_items")).select("report_id", long("position"), long("seq"), long("prev"), "error_code")
+    return items.check_c09_walk(source(spark, d, "inspection_items")).select("report_id", long("position"), "item_number", long("previous"), "error_code")
 
 
 def labels_and_components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -212,11 +212,11 @@ walk AS (SELECT report_id, k, page_no, current_page, total_pages, 1 AS expected,
  UNION ALL SELECT o.report_id, o.k, o.page_no, o.current_page, o.total_pages, w.expected + CAST(w.current_page = w.expected AS INT), CASE WHEN w.total = 0 AND w.current_page > 0 THEN w.total_pages ELSE w.total END FROM walk w JOIN o ON o.report_id = w.report_id AND o.k = w.k + 1)
 SELECT report_id, page_no, unnest(list_filter([CASE WHEN current_page = 0 THEN 'PAGE_NUMBER_001' WHEN current_page <> expected THEN 'PAGE_NUMBER_002' END, CASE WHEN total > 0 AND total_pages <> total AND current_page > 0 THEN 'PAGE_NUMBER_003' END], lambda x: x IS NOT NULL)) AS error_code FROM walk""",
     "a9_non_empty_rows": f"""WITH {ctes('inspection_items')}, {FLAGS},
-g0 AS (SELECT *, last_value(seq IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gs FROM f),
-g1 AS (SELECT *, CASE WHEN gs IS DISTINCT FROM lag(gs) OVER (PARTITION BY report_id ORDER BY position) THEN 1 ELSE 0 END AS fresh FROM g0 WHERE gs IS NOT NULL AND NOT non_data),
+g0 AS (SELECT *, last_value(seq IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gs, last_value(nullif(trim(standard_clause), '') IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gc FROM f),
+g1 AS (SELECT *, CASE WHEN gs IS DISTINCT FROM lag(gs) OVER (PARTITION BY report_id ORDER BY position) OR gc IS DISTINCT FROM lag(gc) OVER (PARTITION BY report_id ORDER BY position) THEN 1 ELSE 0 END AS fresh FROM g0 WHERE gs IS NOT NULL AND NOT non_data),
 g2 AS (SELECT *, sum(fresh) OVER (PARTITION BY report_id ORDER BY position) AS run FROM g1),
-g3 AS (SELECT *, fresh = 1 AND test_result IN ('', '—', '-') AND EXISTS (SELECT 1 FROM g2 b WHERE b.report_id = g2.report_id AND b.run = g2.run AND b.position > g2.position AND b.test_result NOT IN ('', '—', '-')) AS title FROM g2),
-g4 AS (SELECT *, list_filter([CASE WHEN test_result IN ('', '—', '-') THEN 'test_result' END, CASE WHEN item_conclusion IN ('', '—', '-') THEN 'item_conclusion' END, CASE WHEN remark IN ('', '—', '-') THEN 'remark' END], lambda x: x IS NOT NULL) AS empty FROM g3 WHERE NOT title)
+g3 AS (SELECT *, fresh = 1 AND trim(test_result) = '' AND EXISTS (SELECT 1 FROM g2 b WHERE b.report_id = g2.report_id AND b.run = g2.run AND b.position > g2.position AND trim(b.test_result) <> '') AS title FROM g2),
+g4 AS (SELECT *, list_filter([CASE WHEN trim(test_result) = '' THEN 'test_result' END, CASE WHEN trim(item_conclusion) = '' THEN 'item_conclusion' END, CASE WHEN trim(remark) = '' THEN 'remark' END], lambda x: x IS NOT NULL) AS empty FROM g3 WHERE NOT title)
 SELECT report_id, CAST(position AS BIGINT) AS position, sequence_number, array_to_string(empty, ',') AS empty_fields FROM g4 WHERE len(empty) > 0""",
     "a8_conclusion_by_clause": f"""WITH {ctes('inspection_items')}, {FLAGS},
 g0 AS (SELECT *, last_value(seq IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS group_seq FROM f),
@@ -226,10 +226,15 @@ e AS (SELECT *, CASE WHEN fails THEN '不符合' WHEN idle THEN '/' ELSE '符合
 SELECT report_id, CAST(group_seq AS BIGINT) AS group_seq, standard_clause, expected, actual, CASE WHEN actual = '' THEN 'CONCLUSION_004' WHEN expected = '不符合' THEN 'CONCLUSION_001' WHEN expected = '/' THEN 'CONCLUSION_002' ELSE 'CONCLUSION_003' END AS error_code
 FROM e WHERE expected <> actual AND NOT (expected = '/' AND actual = '符合')""",
     "a10_sequence_walk": f"""WITH {ctes('inspection_items')}, {FLAGS},
-o AS (SELECT report_id, seq, min(position) AS position FROM f WHERE seq IS NOT NULL GROUP BY report_id, seq),
-p AS (SELECT *, lag(seq) OVER (PARTITION BY report_id ORDER BY position) AS prev FROM o),
-e AS (SELECT *, CASE WHEN prev IS NULL AND seq <> 1 THEN 'SEQUENCE_001' WHEN seq - prev > 1 THEN 'SEQUENCE_002' WHEN seq - prev < 1 THEN 'SEQUENCE_003' END AS error_code FROM p)
-SELECT report_id, CAST(position AS BIGINT) AS position, CAST(seq AS BIGINT) AS seq, CAST(prev AS BIGINT) AS prev, error_code FROM e WHERE error_code IS NOT NULL""",
+n0 AS (SELECT *, last_value(nullif(trim(replace(sequence_number, '续', '')), '') IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS item FROM f WHERE NOT non_data),
+b AS (SELECT *, lag(source_page) OVER w AS page, lag(item) OVER w AS before FROM n0 WHERE item IS NOT NULL WINDOW w AS (PARTITION BY report_id ORDER BY position)),
+o AS (SELECT report_id, item, min(position) AS position, try_cast(regexp_extract(item, '([0-9]+)', 1) AS INT) AS k FROM b GROUP BY report_id, item),
+p AS (SELECT *, lag(k) OVER (PARTITION BY report_id ORDER BY position) AS previous FROM o),
+e AS (SELECT report_id, position, '' AS item_number, NULL AS previous, 'SERIAL_NUMBER_ERROR_002' AS error_code FROM n0 WHERE item IS NULL
+ UNION ALL SELECT report_id, position, item, previous, 'SERIAL_NUMBER_ERROR_001' FROM p WHERE k > 0 AND previous > 0 AND k <> previous + 1
+ UNION ALL SELECT report_id, position, item, NULL, 'CONTINUATION_MARK_ERROR_001' FROM b WHERE source_page <> page AND item = before AND row_index_in_page = 0 AND NOT is_continued
+ UNION ALL SELECT report_id, position, item, NULL, 'CONTINUATION_MARK_ERROR_002' FROM b WHERE is_continued AND row_index_in_page <> 0)
+SELECT report_id, CAST(position AS BIGINT) AS position, item_number, CAST(previous AS BIGINT) AS previous, error_code FROM e""",
 }
 # names of the derived components are plain ASCII, so matching names are the names themselves
 CAND = """
@@ -254,7 +259,7 @@ SELECT e.report_id, e.component_id, component_name, x.field AS field, x.a AS sou
 FROM every e LEFT JOIN agg ON agg.report_id = e.report_id AND agg.component_id = e.component_id AND agg.field = e.x.field""",
     "c05_photo_coverage": f"""WITH {ctes('labels_ocr')}, {CAND},
 n AS (SELECT report_id, component_id, count(*) AS k FROM cand WHERE nm GROUP BY report_id, component_id)
-SELECT c.report_id, c.component_id, c.component_name, CASE WHEN contains(remark, '未使用') THEN 'skipped' WHEN k > 0 THEN 'pass' ELSE 'error' END AS status, CASE WHEN contains(remark, '未使用') THEN 0 ELSE coalesce(k, 0) END AS n_captions
+SELECT c.report_id, c.component_id, c.component_name, CASE WHEN contains(remark, '本次检测未使用') THEN 'skipped' WHEN k > 0 THEN 'pass' ELSE 'error' END AS status, CASE WHEN contains(remark, '本次检测未使用') THEN 0 ELSE coalesce(k, 0) END AS n_captions
 FROM components c LEFT JOIN n USING (report_id, component_id)""",
     "j25_label_differences": f"""WITH {ctes('labels_ocr')}, {CAND}, {CELLS}
 SELECT report_id, component_id, label_id, x.field AS field, x.a AS source_a, x.b AS source_b, CASE WHEN x.b = '' THEN 'missing_in_ocr' ELSE 'mismatch' END AS difference FROM cell WHERE rank = 1 AND x.a <> '' AND NOT x.fits""",

@@ -97,9 +97,37 @@ SELECT report_id AS ptr_id, source_page AS page_no, CAST(row_index_in_page * 3 +
  WHEN 1 THEN CASE WHEN position % 4 = 3 THEN concat('2/', CAST(source_page AS STRING)) ELSE concat(standard_requirement, '，见表', CAST(position % 3 + 1 AS STRING)) END
  ELSE CASE WHEN position % 5 = 0 THEN '' ELSE concat('a) ', standard_requirement) END END AS line
 FROM inspection_items CROSS JOIN (SELECT CAST(n AS INT) AS n FROM (VALUES (0), (1), (2)) v(n)) k
+""",
+    "bundle_items": """
+SELECT DISTINCT report_id, CAST(0 AS INT) AS position, '9' AS sequence_number, '' AS inspection_project, '' AS standard_clause, '2.1.1 尺寸应符合要求。' AS standard_requirement, '' AS test_result, '' AS item_conclusion, '' AS remark FROM inspection_items i
+UNION ALL
+SELECT report_id, position, '' AS sequence_number, '' AS inspection_project, CASE WHEN report_id % 17 = 0 AND position = 4 THEN '2.1.9' ELSE '' END AS standard_clause,
+ CASE WHEN report_id % 7 = 0 AND position = 3 THEN '' WHEN position % 3 = 1 THEN '外径±0.5mm' WHEN position % 3 = 2 THEN '连接线长度' ELSE '有效长度' END AS standard_requirement,
+ CASE WHEN position % 3 = 1 THEN concat(regexp_extract(standard_requirement, '([0-9]+)', 1), 'mm') ELSE concat(regexp_extract(standard_requirement, '([0-9]+)', 1), 'mm±2mm') END AS test_result,
+ CASE WHEN (report_id + position) % 13 = 0 THEN '' WHEN (report_id + position) % 11 = 0 THEN '+0.9' WHEN position % 2 = 0 THEN '-0.2~+0.3' ELSE '-0.1' END AS item_conclusion, '' AS remark
+FROM inspection_items i
+UNION ALL
+SELECT DISTINCT report_id, CAST(100 AS INT) AS position, '' AS sequence_number, '' AS inspection_project, '' AS standard_clause, '2.1.2 连接牢固度' AS standard_requirement, '' AS test_result, '+9' AS item_conclusion, '' AS remark FROM inspection_items i
+""",
+    "row_texts": """
+SELECT report_id AS ref_id, report_id AS table_id, concat(inspection_project, '：', standard_requirement, '；允许误差：±5%') AS report_text FROM inspection_items WHERE position = 1
+""",
+    "table_fragments": """
+SELECT report_id AS ptr_id, CAST(position AS BIGINT) AS table_id, CAST(position + CASE WHEN report_id % 5 = 0 AND position > 3 THEN 1 ELSE 0 END AS INT) AS page_no, CAST(CASE WHEN position % 4 = 3 THEN 400 ELSE 50 END AS DOUBLE) AS y0,
+ CAST(CASE WHEN position % 5 = 2 THEN 300 ELSE 780 END AS DOUBLE) AS y1, CAST(800 AS DOUBLE) AS height, CAST(CASE WHEN position % 3 = 1 THEN CASE WHEN position > 4 AND report_id % 2 = 0 THEN 2 ELSE 1 END END AS INT) AS table_number,
+ CAST(CASE WHEN (report_id + position) % 11 = 0 THEN 7 WHEN (report_id + position) % 13 = 0 THEN 5 ELSE 4 END AS INT) AS n_cols,
+ split(CASE WHEN (report_id + position) % 7 = 0 THEN '甲,乙,丙,允许误差' WHEN (report_id + position) % 7 = 3 THEN '参数,型号,标准设置,常规数值' ELSE '参数,型号,标准设置,允许误差' END, ',') AS headers,
+ split(CASE WHEN position % 2 = 0 THEN '参数,型号,标准设置' ELSE '参数,型号,丁' END, ',') AS paths, (report_id + position) % 7 <> 0 AS is_parameter
+FROM inspection_items i
+""",
+    "clause_items": """
+SELECT report_id, position, CASE WHEN position % 6 = 2 THEN concat('续 ', standard_clause) WHEN position % 6 = 3 THEN concat(standard_clause, '.7') WHEN position % 6 = 5 THEN concat(standard_clause, ' 移位的要求文本') ELSE sequence_number END AS sequence_number, inspection_project,
+ CASE WHEN position % 6 = 0 THEN substring(standard_clause, 1, 3) WHEN position % 6 = 1 THEN concat('条款 ', standard_clause, ' 及其他') ELSE '' END AS standard_clause,
+ CASE WHEN position % 6 = 4 THEN concat('按 ', standard_clause, ' 执行') ELSE standard_requirement END AS standard_requirement, test_result, item_conclusion, remark
+FROM inspection_items i
 """,
 }
-NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"], "report_cells": ["inspection_items"], "sample_cells": ["components"], "label_texts": ["labels_ocr"]}
+NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"], "report_cells": ["inspection_items"], "sample_cells": ["components"], "label_texts": ["labels_ocr"], "bundle_items": ["inspection_items"], "row_texts": ["inspection_items"], "table_fragments": ["inspection_items"], "clause_items": ["inspection_items"]}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

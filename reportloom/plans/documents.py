@@ -44,7 +44,7 @@ def parameter_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confidence(spark: SparkSession, d: str) -> DataFrame:
-    return tables.structure_confidence(*grid(spark, d)).select("table_id", "structure_confidence", joined("notes"), "needs_manual_review")
+    return tables.structure_confidence(*grid(spark, d), filled(spark, d)[0]).select("table_id", "structure_confidence", joined("notes"), "needs_manual_review")
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -183,12 +183,14 @@ m AS (SELECT conv_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS mis FROM
 d AS (SELECT conv_id, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) AS dup FROM (SELECT conv_id, turn FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1) GROUP BY conv_id)
 SELECT conv_id AS report_id, CAST(lo AS BIGINT) AS first_number, CAST(hi AS BIGINT) AS last_number, n AS n_numbers, coalesce(mis, '') AS missing_numbers, coalesce(dup, '') AS duplicate_numbers FROM b LEFT JOIN m USING (conv_id) LEFT JOIN d USING (conv_id)""",
     "t2_header_rows": f"WITH {ctes('cells')}, {BODY} SELECT table_id, CAST(row_no AS BIGINT) AS row_no FROM headers",
-    "a18_table_diagnostics": f"""WITH {ctes('cells')}, n AS (SELECT table_id, count(*) FILTER (row_no = 0 AND text = '') AS header_blanks, count(*) FILTER (row_no = 0) AS n_cols, count(*) FILTER (col_no = 0 AND row_no > 0 AND text = '') AS first_column_blanks,
- count(*) FILTER (col_no = 0 AND row_no > 0) AS n_rows FROM cells GROUP BY table_id) SELECT *, header_blanks * 2 > n_cols AS sparse_header, header_blanks * 2 > n_cols OR first_column_blanks * 2 > n_rows AS suspicious FROM n""",
+    "a18_table_diagnostics": f"""WITH {ctes('cells')}, r AS (SELECT table_id, row_no, string_agg(text, '' ORDER BY col_no) AS line, count(*) FILTER (trim(text) <> '') AS filled, bool_or(col_no = 0 AND trim(text) = '') AS open, max(col_no) AS last FROM cells GROUP BY table_id, row_no),
+n AS (SELECT table_id, count(*) AS row_count, CAST(max(last) + 1 AS BIGINT) AS col_count, coalesce(max(filled) FILTER (row_no = 0), 0) AS header_filled, count(*) FILTER (open) AS first_column_blanks,
+ count(*) FILTER (row_no < 4 AND regexp_matches(line, '参数|型号|标准设置|允许误差|常规数值')) AS header_candidates FROM r GROUP BY table_id)
+SELECT *, header_filled < greatest(1, col_count // 2) AS sparse_header, header_candidates >= 2 OR header_filled < greatest(1, col_count // 2) OR first_column_blanks >= greatest(2, row_count // 3) AS suspicious FROM n""",
     "t19_clauses": f"WITH {ctes('ptr_lines')}, {LINES} SELECT * FROM clauses",
     "t20_dedup_clauses": f"WITH {ctes('ptr_lines')}, {LINES} SELECT * FROM dd",
     "a15_clause_types": f"""WITH {ctes('ptr_lines')}, {LINES}, k AS (SELECT regexp_replace(text_content, '\\s+', '', 'g') AS t FROM dd)
-SELECT CASE WHEN starts_with(t, '附录') THEN 'appendix' WHEN starts_with(t, '注') OR regexp_matches(t, '^图[0-9]') THEN 'note' ELSE 'main_requirement' END AS clause_type, count(*) AS n FROM k GROUP BY ALL""",
+SELECT CASE WHEN contains(t, '附录') THEN 'appendix' ELSE 'main_requirement' END AS clause_type, count(*) AS n FROM k GROUP BY ALL""",
     "t21_table_refs": f"WITH {ctes('ptr_lines')}, {LINES} SELECT DISTINCT ptr_id, number_str, CAST(unnest(regexp_extract_all(text_content, '表\\s*(\\d+)', 1)) AS BIGINT) AS table_number FROM dd",
     "t21_sub_items": f"""WITH {ctes('ptr_lines')}, {LINES},
 e AS (SELECT ptr_id, number_str, unnest(range(0, len(string_split(text_content, chr(10))))) AS line_no, unnest(string_split(text_content, chr(10))) AS line FROM dd)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import checks, documents, intake
+from .plans import checks, documents, intake, verdicts
 
-MODULES = (checks, documents, intake)
+MODULES = (checks, documents, intake, verdicts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

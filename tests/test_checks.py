@@ -2,14 +2,16 @@
 
 import re
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pytest
 from compare import oracle_rows, spark_rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom import registry
 from reportloom.functions import text
-from reportloom.operators import clauses, items, matching, pages, pairs, summary, tables
+from reportloom.operators import bundles, clauses, items, matching, pages, pairs, summary, tables
 from reportloom.plans import documents
 
 SF = "/root/testdata/sf0.001"
@@ -203,7 +205,7 @@ def test_scope(spark):
     assert {n: v for (r, n), v in at.items() if r == 1} == want
     assert {n: v for (r, n), v in at.items() if r == 2} == {n: (n != "2.10", None) for n in texts} and all(at[3, n] == (True, None) for n in texts)
     out = {r["number_str"]: (r["result"], r["comparison_status"]) for r in clauses.compare_documents(c, i, pair.filter("report_id = 1"), rules, similarity=False).collect()}
-    assert out["2.5"] == ("match", ext) and out["2.7"] == ("excluded", None) and out["2.4.1"] == ("missing", None)
+    assert out["2.5"] == ("match", ext) and out["2.7"] == ("excluded", "out_of_scope_in_current_report") and out["2.4.1"] == ("missing", None)
 
 
 def test_marker_is_a_whole_number(spark):
@@ -225,41 +227,47 @@ def test_group_clauses(spark):
 
 
 def test_match_tiers(spark, monkeypatch):
-    texts = {"2.1": "甲要求", "2.2": "乙要求", "2.3.1": "丙要求", "2.4": "丁要求", "2.5.1.1": "戊要求", "2.6": "外壳应光滑无毛刺", "2.7": "完全没有对应的一行"}
-    given = [("1", "x", "2.1", "a"), ("2.2", "x", "", "b"), ("3", "x", "2.3", "c"), ("4", "x", "", "见 2.4 所列"), ("5", "x", "第2.5", "d"), ("5", "x", "2.5", "e"), ("6", "", "", "外壳应光滑无毛刺刺"), ("7", "", "", "外壳不光滑")]
+    texts = {"2.1": "甲要求", "2.2": "乙要求", "2.3.1": "丙要求", "2.4": "丁要求", "2.5.1.1": "戊要求", "2.6": "外壳应光滑无毛刺", "2.7": "完全没有对应的一行", "2.1.3": "己要求", "2.8.1": "庚要求", "2.9": "辛要求", "2.1.1.2": "导丝外观 表面平整无缺陷", "2.11": "壬要求"}
+    given = [
+        ("1", "x", "2.1 颜色", "a"), ("续 2.2", "x", "", "b"), ("2.3", "x", "", "c"), ("4", "x", "", "见 2.4 所列"), ("5", "x", "第2.5条", "d"), ("5", "x", "2.5.1", "e"), ("6", "", "", "外壳应光滑无毛刺刺"), ("7", "", "", "外壳不光滑"),
+        ("8", "x", "2.1.30", "f"), ("9", "x", "", "甲\n2.1.3 己"), ("10", "x", "2.8.1.5", "g"), ("2.9.4", "x", "", "h"), ("2.1.1.2 导丝外观 表面平整无缺陷", "符合要求", "", ""), ("2.1", "x", "4.2", "z"),
+    ]
     c = clause_rows(spark, texts)
     i = spark.createDataFrame([(1, k, seq, proj, cl, req, "/") for k, (seq, proj, cl, req) in enumerate(given)], ROW)
 
     def brute(n, text_):
         found = []
         for k, (seq, proj, cl, req) in enumerate(given):
-            dotted = re.fullmatch(r"\d+(\.\d+)*", cl) is not None
-            if cl == n:
+            dotted = re.search(r"\d+(?:\.\d+)+", cl)
+            column, sequence = dotted[0] if dotted else "", re.sub(r"\s+", "", seq.replace("续", ""))
+            if column == n:
                 found.append((1, -1.0, k))
-            if seq == n and "." in seq:
-                found.append((2, -1.0, k))
-            if dotted and (n.startswith(cl) or cl.startswith(n)):
-                found.append((3, -1.0, k))
+            if re.fullmatch(r"\d+(?:\.\d+)+", sequence):
+                if sequence == n:
+                    found.append((2, -1.0, k))
+                if sequence.startswith(n) or n.startswith(sequence):
+                    found.append((3, -1.0, k))
+            elif re.search(r"\d+(?:\.\d+)+", seq):
+                req = f"{req}\n{seq}".strip()
             e = re.escape(n)
             score = next((s for p, s in ((rf"^\s*{e}(?:[.．、]|\s|$)", 4), (rf"(?:^|\n)\s*{e}(?:[.．、]|\s|$)", 3), (rf"(?<![\d.]){e}(?:[.．、]|\s|$)", 1)) if re.search(p, req)), 0)
             if score:
                 found.append((4, -float(score), k))
-            if cl and n.startswith(cl + "."):
-                found.append((5, -float(len(cl)), k))
-            if not re.search(r"\d+\.\d+", cl):
-                score = SequenceMatcher(None, text_, proj + req, autojunk=False).ratio() + (0.2 if text_ in proj + req or proj + req in text_ else 0)
+            if column and n.startswith(column + "."):
+                found.append((5, -float(len(column)), k))
+            if not column:
+                other = req or proj
+                score = SequenceMatcher(None, text_, other, autojunk=False).ratio() + (0.2 if text_ in other or other in text_ else 0)
                 if score >= 0.55:
                     found.append((6, -score, k))
         return min(found)[::2] if found else (None, None)
 
     want = {n: brute(n, t) for n, t in texts.items()}
-    assert {t for t, _ in want.values()} >= {1, 2, 3, 4, 6, None}
+    assert {t for t, _ in want.values()} >= {1, 2, 3, 4, 5, 6, None}
+    # a parent's column never stands for a number that only begins alike, and the nearest ancestor decides
+    assert want["2.1.3"][1] == 13 and want["2.5.1.1"] == (5, 5) and want["2.1"] == (1, 0)
     own = spark.createDataFrame([(1, 1)], PAIR)
     assert {r["number_str"]: (r["tier"], r["position"]) for r in clauses.match_clauses(c, i, own).collect()} == want
-    # a parent's column that is no plain number prefix: tier 5
-    named = spark.createDataFrame([(1, 0, "1", "x", "A.5", "d", "/"), (1, 1, "2", "x", "A.5.1", "e", "/")], ROW)
-    deep = spark.createDataFrame([(1, [5, 1, 1], "A.5.1.1", "戊要求", 3, 1, 0)], CLAUSE)
-    assert tuple(clauses.match_clauses(deep, named, own).select("tier", "position").first()) == (5, 1)
     # the registered queries use all tiers
     monkeypatch.setattr(documents, "extracted", lambda spark, d: c)
     monkeypatch.setattr(documents, "source", lambda spark, d, name: i)
@@ -267,6 +275,123 @@ def test_match_tiers(spark, monkeypatch):
     assert {r["number_str"]: (r["tier"], r["position"]) for r in documents.matched(spark, "").collect()} == want
 
 
+def item_rows(spark, *rows, report=1):
+    """Rows by the columns that are given; all others are empty."""
+    names = ("sequence_number", "inspection_project", "standard_clause", "standard_requirement", "test_result", "item_conclusion", "remark")
+    return spark.createDataFrame([(report, k, *[r.get(c, "") for c in names]) for k, r in enumerate(rows)], "report_id long, position int, " + ", ".join(f"{c} string" for c in names))
+
+
+def verdicts(spark, cases, **more):
+    """Each case (texts of clauses by number, rows) as a pair of documents of its own: {(case, number): row}."""
+    both = {k: (clause_rows(spark, texts).withColumn("ptr_id", F.lit(k).cast("long")), item_rows(spark, *rows, report=k)) for k, (texts, rows) in enumerate(cases)}
+    c, i = (reduce(DataFrame.unionByName, [b[side] for b in both.values()]) for side in (0, 1))
+    out = clauses.compare_documents(c, i, spark.createDataFrame([(k, k) for k in both], PAIR), **more)
+    return {(r["ptr_id"], r["number_str"]): r for r in out.collect()}
+
+
+def need(text_, result="", conclusion="", **more):
+    return {"standard_requirement": text_, "test_result": result, "item_conclusion": conclusion, **more}
+
+
+SIZES = [need("管身直径（外径）", "2.5mm±0.1mm", "+0.03"), need("电极宽度", "2.5mm±0.1mm", "-0.02～+0.06"), need("电极间距", "4mm±0.5mm", "-0.4～-0.2"), need("环形圈最小直径", "20mm±10%", "-5%～+3%"), need("环形圈最大直径", "25mm±10%", "-6%～+2%"), need("有效长度", "115cm±3cm", "+0～+1")]
+SIZE_TEXT = "当用通用量具测量时，导管管身直径（外径）、电极宽度、电极间距、环形圈直径、有效长度应符合产品型号/规格及其划分说明表中尺寸要求。"
+
+
+def test_bundles(spark):
+    start, stop = need("2.1.2.1 当用通用量具测量时，导管尺寸应符合要求。", sequence_number="157"), need("2.1.2.2 导管头端部分可调弯，调弯角度180±20°。")
+    text_ = "尺寸 当用通用量具测量时，导管连接线外径、长度应符合导管连接线型号/规格表中尺寸要求。"
+    split = [need(f"2.7.2 {text_}"), need("连接线长度±0.05m", "2m 单位：m", "+0.02"), need("外径±0.5mm", "6.5mm 单位：mm", "-0.2～+0.0"), need("2.7.3 连接牢固度")]
+    # all hold; one row does not, one name is not covered, a blank row ends the rows, a clause in the column; blanks before the first row are passed over
+    given = [SIZES, [*SIZES[:2], need("电极间距", "4mm±0.5mm", "+0.7"), *SIZES[3:]], SIZES[:5], [*SIZES[:3], need(""), *SIZES[3:]], [*SIZES[:3], need("电极间距", "4mm±0.5mm", "+0.1", standard_clause="2.2"), *SIZES[3:]], [need(""), *SIZES]]
+    got = verdicts(spark, [*[({"2.1.2.1": SIZE_TEXT}, [start, *rows, stop]) for rows in given], ({"2.7.2": text_}, split)])
+    assert [got[k, "2.1.2.1"]["match_reason"] for k in range(6)] == ["measurement_bundle", "differ", "differ", "differ", "differ", "measurement_bundle"] and got[0, "2.1.2.1"]["result"] == "match"
+    assert got[6, "2.7.2"]["match_reason"] == "measurement_bundle"
+
+
+def test_bundle_of_segments(spark):
+    rows = [
+        need("2.1.3 断裂力 各试验段的断裂力应符合下表的规定。", sequence_number="续157", standard_clause="2.1"), need("试验段", "断裂力（N）"), need("环形圈头端与环形圈管身", "≥10", "17～46"), need("环形圈管身与可调弯管身", "≥15", "50～55"),
+        need("可调弯管与外管管身", "≥15", "37～57"), need("外管管身", "≥15", "186～213"), need("外管管身与手柄", "≥15", "173～228"), need("2.1.4 调节机构的操控性"),
+    ]
+    matched = clause_rows(spark, {"2.1.3": "断裂力 各试验段的断裂力应符合下表的规定。"}).withColumns({"report_id": F.lit(1).cast("long"), "position": F.lit(0)})
+    (got,) = bundles.bundle_match(matched, item_rows(spark, *rows)).collect()
+    assert got["bundle"] == "segments" and len(got["rows"]) == 5 and got["rows"][0].asDict() == {"item": "环形圈头端与环形圈管身", "requirement": ">=10", "actual": "17~46"} or got["rows"][0]["actual"] in ("17～46", "17~46")
+    assert not bundles.bundle_match(matched, item_rows(spark, rows[0], rows[1], need("外管管身", "≥15", "3～9"), rows[3])).collect()
+    assert not bundles.bundle_match(matched, item_rows(spark, rows[0], rows[2], rows[-1])).collect()  # one segment is not enough
+
+
+def test_bundle_of_split_tolerances(spark):
+    rows = [need("2.7.2 尺寸 当用通用量具测量时，导管连接线外径、长度应符合导管连接线型号/规格表中尺寸要求。"), need("连接线长度±0.05m", "2m 单位：m", "+0.02"), need("外径±0.5mm", "6.5mm 单位：mm", "-0.2～+0.0"), need("2.7.3 连接牢固度")]
+    text_ = "尺寸 当用通用量具测量时，导管连接线外径、长度应符合导管连接线型号/规格表中尺寸要求。"
+    matched = clause_rows(spark, {"2.7.2": text_}).withColumns({"report_id": F.lit(1).cast("long"), "position": F.lit(0)})
+    (got,) = bundles.bundle_match(matched, item_rows(spark, *rows)).collect()
+    assert (got["bundle"], [r["item"] for r in got["rows"]], [r["requirement"] for r in got["rows"]]) == ("measurement", ["连接线长度", "外径"], ["2m±0.05m", "6.5mm±0.5mm"])
+
+
+def test_verdict_details(spark):
+    cases = [
+        ({"2.1": "将测试系统按图1进行安装 图B1测试布图 注：箭头方向代表数据传输方向", "2.1.1": "外表面"}, [need("2.1.1 外表面", sequence_number="157", standard_clause="2.1", inspection_project="物理性能及结构")]),
+        ({"2.1": "基本电性能指标及允许误差 见表1参数表", "2.1.1": "脉冲幅度应符合表1中的数值。"}, [need("脉冲幅度应符合表1中的数值。", sequence_number="1", standard_clause="2.1.1")]),
+        ({"2.5.1": "各电极与连接器对应芯脚之间的导线的直流电阻不应超过20Ω。"}, [need("各电极与连接器对应芯脚之间的导线的直流电阻值≤20Ω。", "≤20Ω", "符合", sequence_number="57", standard_clause="2.5.1")]),
+        ({"2.1.6": "干扰转复频率应符合表1中的数值。"}, [need("基础频率应符合表1中的数值。", sequence_number="40", standard_clause="2.1.4"), need("灵敏度应符合表1中的数值。", sequence_number="42", standard_clause="2.1.7")]),
+        ({"2.1.1.1": "导管外观"}, [need("风险管理过程", sequence_number="2", standard_clause="4.2"), need("导管外观", sequence_number="157", standard_clause="2.1")]),
+        ({"2.1.1.1": "导管外观 有效长度外表面应清洁"}, [need("2.1.1. 外观\n2.1.1.1. 导管外观 有效长度外表面应清洁\n2.1.1.2. 导丝外观 表面应平整", sequence_number="157", standard_clause="2.1")]),
+        ({"2.1.1.2": "导丝外观 表面平整无缺陷"}, [need("2.1.1.1 导管外观 表面平整无缺陷", sequence_number="157", standard_clause="2.1", inspection_project="物理性能"), need("", sequence_number="2.1.1.2 导丝外观 表面平整无缺陷", inspection_project="符合要求")]),
+        # a row that says it is out of scope matches with that status; a number among the excluded ones; a project's name leads
+        ({"2.3": "应有标识"}, [need("应有标识", "本报告范围外", standard_clause="2.3")]),
+        ({"2.3": "应有标识"}, [need("应有标识", standard_clause="2.3")]),
+        ({"2.3": "标识 应清楚可辨"}, [need("应清楚可辨", standard_clause="2.3", inspection_project="标识", sequence_number="5"), need("，且不易脱落", sequence_number="续5")]),
+    ]
+    got = verdicts(spark, cases, excluded=spark.createDataFrame([(8, "2.3"), (8, "2.3"), (8, "7")], "report_id long, sequence_number string"))
+    assert {k: (r["result"], r["comparison_status"], r["match_reason"]) for k, r in got.items()} == {
+        (0, "2.1"): ("excluded", "group_clause", "group_clause"), (0, "2.1.1"): ("match", None, "exact"), (1, "2.1"): ("excluded", "group_clause", "group_clause"), (1, "2.1.1"): ("match", None, "exact"), (2, "2.5.1"): ("match", None, "numeric"),
+        (3, "2.1.6"): ("missing", None, "missing"), (4, "2.1.1.1"): ("match", None, "exact"), (5, "2.1.1.1"): ("match", None, "exact"), (6, "2.1.1.2"): ("match", None, "exact"), (7, "2.3"): ("match", "out_of_scope_in_current_report", "out_of_scope_in_current_report"),
+        (8, "2.3"): ("excluded", "excluded", "excluded_number"), (9, "2.3"): ("differ", None, "differ"),
+    }
+    assert (got[4, "2.1.1.1"]["position"], got[6, "2.1.1.2"]["position"]) == (1, 1) and got[5, "2.1.1.1"]["requirement"] == "导管外观 有效长度外表面应清洁" and got[9, "2.3"]["requirement"] == "标识 应清楚可辨\n，且不易脱落"
+    fields = spark.createDataFrame([(0, ["2.1～2.8（除生物相容性、电磁兼容性）"])], "report_id long, inspection_items array<string>")
+    scope = [({"2.5.3": "电磁兼容应符合YY 9706.102-2021要求。", "3.1": "说明"}, [need("2.5.3 电磁兼容应符合YY 9706.102-2021要求。", "/", sequence_number="161", inspection_project="安全要求")])]
+    found = verdicts(spark, scope, rules=clauses.scope_rules(fields), fields=fields)[0, "2.5.3"]
+    assert (found["result"], found["comparison_status"]) == ("excluded", "out_of_scope_in_current_report")
+
+
+def test_clause_types(spark):
+    rows = [([2], "性能"), ([2, 1], "注：见下"), ([2, 2], "按附录A试验"), ([2, 3], "试验方法"), ([2, 3, 1], "图1 甲"), ([3, 1], "方法"), ([4, 1], "图B1 布置"), ([4, 2], "标签"), ([4, 2, 1], "清楚"), ([4, 9, 1], "甲"), ([4, 3, 1], "说明：乙"), ([3, 2], "附录")]
+    c = spark.createDataFrame([(1, n, ".".join(map(str, n)), t, len(n), 1, k) for k, (n, t) in enumerate(rows)], CLAUSE)
+    got = {r["number_str"]: r["clause_type"] for r in clauses.classify_clauses(c).collect()}
+    main, info = "main_requirement", "informational"
+    # 4.2.1 has the type of 4.2, the last clause of level 2 with that second number
+    assert got == {"2": info, "2.1": main, "2.2": "appendix", "2.3": main, "2.3.1": main, "3.1": "test_method", "4.1": info, "4.2": info, "4.2.1": info, "4.9.1": main, "4.3.1": info, "3.2": "appendix"}
+
+
+def test_structure_confidence(spark):
+    good = cells(spark, ["参数", "型号", "标准设置"], ["脉宽", "全部", "0.4"])
+    odd = cells(spark, ["1", "2", "3"], ["4", "5", "6"]).withColumn("table_id", F.lit(2).cast("long"))
+    grid = tables.densify(good.unionByName(odd))
+    headers = tables.header_rows(grid)
+    columns = tables.column_paths(grid, headers)
+    got = {r["table_id"]: (r["structure_confidence"], r["notes"], r["needs_manual_review"]) for r in tables.structure_confidence(grid, headers, columns).collect()}
+    assert got[1] == (1.0, [], False) and got[2][1][0] == "header_not_detected" and got[2][2]
+    # only header rows, four of them, and more cells that took their label from the left than there are columns
+    four = cells(spark, ["参数", "", ""], ["型号", "", ""], ["标准设置", "", ""], ["允许误差", "x", "y"])
+    heads = spark.createDataFrame([(1, k) for k in range(4)], "table_id long, row_no int")
+    found = tables.structure_confidence(tables.densify(four), heads, tables.column_paths(tables.densify(four), heads)).first()
+    assert found["notes"] == ["too_many_header_rows", "body_rows_empty", "heavy_header_propagation"] and found["structure_confidence"] == 0.6
+
+
+def test_row_walks(spark):
+    names = "report_id long, position int, sequence_number string, inspection_project string, standard_clause string, standard_requirement string, test_result string, item_conclusion string, remark string, source_page int, row_index_in_page int"
+    given = [("", 3, 0, ""), ("1", 3, 1, "x"), ("", 3, 2, "x"), ("3", 3, 3, "x"), ("续3", 4, 0, "x"), ("续3", 4, 1, "x"), ("", 5, 0, "x"), ("4", 5, 1, "——"), ("2", 5, 2, "x"), ("以下空白", 5, 3, "")]
+    i = spark.createDataFrame([(1, k + 1, s, "p", "2.1", "q", res, "/", "-", page, row) for k, (s, page, row, res) in enumerate(given)], names)
+    got = sorted((r["position"], r["error_code"], r["item_number"], r["previous"]) for r in items.check_c09_walk(i).collect())
+    jump, blank, missing, misplaced = "SERIAL_NUMBER_ERROR_001", "SERIAL_NUMBER_ERROR_002", "CONTINUATION_MARK_ERROR_001", "CONTINUATION_MARK_ERROR_002"
+    assert got == [(1, blank, "", None), (4, jump, "3", 1), (6, misplaced, "3", None), (7, missing, "3", None), (9, jump, "2", 4)]
+    # a title row is the first of its number and clause, without a result, above any result, be it a dash; another clause starts anew
+    given = [("1", "2.1", ""), ("", "2.1", "——"), ("", "2.1", ""), ("2", "2.2", ""), ("", "2.3", "x"), ("3", "2.4", "/")]
+    i = spark.createDataFrame([(1, k + 1, s, "p", c, "q", res, "/", "-", 3, k) for k, (s, c, res) in enumerate(given)], names)
+    assert [(r["position"], r["empty_fields"]) for r in items.check_c08_rows(i).orderBy("position").collect()] == [(3, ["test_result"]), (4, ["test_result"])]
+
+
 def test_summary(spark):
     f = spark.createDataFrame([(1, "C01", None, "a", "warning", "", ""), (1, "C01", None, "b", "pass", "", ""), (1, "C09", None, None, "error", "", "")], "report_id long, check_id string, entity string, field string, status string, source_a string, source_b string")
     assert {r["check_id"]: r["status"] for r in summary.summarize_checks(f).collect()} == {"C01": "warning", "C09": "error"}

@@ -79,3 +79,79 @@ def test_parameter_comparison(spark):
     texts = spark.createDataFrame([(1, 1, "测得 30V"), (1, 2, "测得 18V")], "report_id long, position int, text string")
     want = spark.createDataFrame([(1, 1, "2.1", "≤20V")], "ptr_id long, report_id long, number_str string, expected string")
     assert parameters.numeric_evidence(want, texts).select(F.col("evidence")).first()[0] == "18V"
+
+
+FRAGMENTS = "ptr_id long, table_id long, page_no int, y0 double, y1 double, height double, table_number int, n_cols int, headers array<string>, paths array<string>, is_parameter boolean"
+NAMES = ["参数", "型号", "常规数值", "标准设置", "允许误差"]
+
+
+def fragment(doc, table_id, page, number=None, headers=(), paths=(), n_cols=5, y0=50.0, y1=780.0, parameter=True):
+    return (doc, table_id, page, y0, y1, 800.0, number, n_cols, list(headers), list(paths), parameter)
+
+
+def test_accumulated_fragments(spark):
+    docs = [
+        # a number that an earlier fragment had: its neighbour has none
+        fragment(1, 1, 3, 1, NAMES), fragment(1, 2, 4, None, NAMES), fragment(1, 3, 5, 1, ["x"]), fragment(1, 4, 6, 2, ["x"]),
+        # headers that the first fragment lends to all: the second has none of its own, but the paths agree
+        fragment(2, 1, 8, 1, NAMES, NAMES), fragment(2, 2, 9, None, [*NAMES[:3], "甲", "乙"], NAMES), fragment(2, 3, 10, None, NAMES, []), fragment(2, 4, 12, None, NAMES, NAMES),
+        # the number comes with the second fragment; a page's end counts, not its start; two fragments of one page
+        fragment(3, 1, 1, None, NAMES), fragment(3, 2, 2, None, NAMES), fragment(3, 3, 2, None, NAMES, y0=400.0), fragment(3, 4, 3, None, [*NAMES[:4], "别"], n_cols=6),
+        fragment(4, 1, 1, None, [], [], n_cols=0), fragment(4, 2, 2, None, [], []),
+    ]
+    tables = spark.createDataFrame(docs, FRAGMENTS)
+    folded = layout.fold_continuations(tables)
+    got = {(r["ptr_id"], r["table_id"]): (r["reason"], r["continues"]) for r in folded.collect()}
+
+    def share(a, b, least):
+        both, most = set(a) & set(b), set(a) | set(b)
+        whole = (min(len(set(a)), len(set(b))) if a and b else 0) if least else len(most)
+        return len(both) / whole if whole else 0.0
+
+    def brute(rows):
+        out, base = {}, None
+        for r in sorted(rows, key=lambda r: (r[2], r[3])):
+            doc, tid, page, y0, y1, h, number, cols, heads, paths, par = r
+            if base is None:
+                reason = "first"
+            elif not 0 <= page - base["page"] <= 1:
+                reason = "pages_apart"
+            elif min(cols, base["cols"]) == 0:
+                reason = "no_columns"
+            elif abs(cols - base["cols"]) > 1:
+                reason = "columns_differ"
+            elif number is not None and base["number"] is not None:
+                reason = "same_number" if number == base["number"] else "numbers_differ"
+            elif number is not None:
+                reason = "own_number"
+            else:
+                e = {"alike": share(heads, base["heads"], False), "paths": share(paths, base["paths"], True), "placed": y0 < 0.25 * h and base["y1"] > 0.7 * h, "parameters": par and base["par"]}
+                e["overlap"] = max(share(heads, base["heads"], True), e["paths"])
+                reason = next((n for n, asked in layout.GOES_ON if all(e[k] >= v for k, v in asked.items())), "no_number" if base["number"] is None else "no_evidence")
+            out[doc, tid] = reason
+            if reason in layout.JOINS:
+                same = page == base["first"]
+                base |= {"page": max(page, base["page"]), "y1": max(base["y1"], y1) if same else base["y1"], "number": base["number"] if base["number"] is not None else number, "cols": max(cols, base["cols"]), "heads": base["heads"] or heads, "paths": base["paths"] or paths, "par": base["par"] if base["heads"] else par}
+            else:
+                base = {"first": page, "page": page, "y1": y1, "number": number, "cols": cols, "heads": heads, "paths": paths, "par": par}
+        return out
+
+    want = {k: v for doc in (1, 2, 3, 4) for k, v in brute([d for d in docs if d[0] == doc]).items()}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert got[1, 3] == ("same_number", True) and got[1, 4] == ("numbers_differ", False) and got[2, 3][1]
+    # the neighbour alone gives another answer
+    lagged = {(r["ptr_id"], r["table_id"]): r["reason"] for r in layout.assess_continuation(tables).collect()}
+    assert lagged[1, 3] == "own_number" and lagged[2, 3] != got[2, 3][0]
+    merged = {(r["ptr_id"], r["table_id"]): (r["table_number"], r["pages"], r["headers"]) for r in layout.merge_continuations(folded).collect()}
+    assert merged[1, 1] == (1, [3, 4, 5], NAMES) and merged[1, 4][0] == 2 and merged[2, 1] == (1, [8, 9, 10], NAMES)
+    assert layout.fold_continuations(tables.limit(0)).count() == 0
+
+
+def test_merged_cells(spark):
+    texts = {1: [NAMES, ["脉冲宽度(ms)", "全部型号", "0.1...(0.1)...1.5", "0.4", "±20μs"]], 2: [[n + " " for n in NAMES], ["基础频率(bpm)", "全部型号", "30...(5)...200", "60", "±20ms"]], 3: [["别", "", "", "", None]]}
+    cells = spark.createDataFrame([(7, t, i + 5, j, x) for t, rows in texts.items() for i, r in enumerate(rows) for j, x in enumerate(r)], "ptr_id long, table_id long, row_no int, col_no int, text string")
+    folded = layout.fold_continuations(spark.createDataFrame([fragment(7, 1, 3, 1, NAMES), fragment(7, 2, 4, None, NAMES), fragment(7, 3, 9, None, NAMES)], FRAGMENTS))
+    out = layout.merge_cells(folded, cells).collect()
+    first = {(r["row_no"], r["page_no"], r["from_row"]): r["text"] for r in out if r["table_id"] == 1 and r["col_no"] == 0}
+    assert first == {(0, 3, 5): "参数", (1, 3, 6): "脉冲宽度(ms)", (2, 4, 6): "基础频率(bpm)"}  # the repeated header of the second fragment is gone
+    assert {(r["row_no"], r["text"]) for r in out if r["table_id"] == 3} == {(0, "别"), (0, ""), (0, None)} and layout.merge_cells(folded, cells.limit(0)).count() == 0
