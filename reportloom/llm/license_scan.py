@@ -3,9 +3,11 @@
 Each licence template is posted in a small index: word -> (template, position). A corpus pass counts in how many documents
 each posted word occurs, which gives its IDF. A file is looked up by the RARE words of highest IDF, among those that it has,
 of each template whose key phrase it may hold. A place of such a word and its posting give an alignment (place in the
-file less place in the template); alignments that two postings agree on are kept. There the template's mandatory key phrase
-is verified word for word, and the share of the template's words that agree is its score. The base phrases are found by
-their word of highest IDF and verified in full. Column expressions over one row, and one small count by word.
+file less place in the template); alignments that two postings agree on are kept. Should those words stand elsewhere in the
+file, the places of the key phrase's own rarest word give all alignments that are left. At each the template's mandatory key
+phrase is verified word for word, and the share of the template's words that agree is its score: so no alignment that holds
+the key phrase is missed. The base phrases are found by their word of highest IDF and verified in full. Column expressions
+over one row, and one small count by word.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means", "all rights reserved"),
 )
 LEAST_SCORE = 0.6
-RARE = 3  # words by which a template is looked up
+RARE = 3  # words by which a template is looked up first
 PHRASE_SCORE = 0.5  # a base phrase names a licence; it is not its text
 
 
@@ -84,13 +86,14 @@ def phrase_places(hits: Column, phrase: list[str], anchor: str) -> Column:
 
 
 def template_index(rank: dict[str, int]) -> Column:
-    """Array of the templates: label, words, rare (the distinct words, highest IDF first), key phrase and its place."""
+    """Array of the templates: label, words, rare (the distinct words, highest IDF first), key phrase and its place, its word of highest IDF and that one's place."""
     rows = []
     for label, text, phrase in TEMPLATES:
         words, key = text.split(), phrase.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         rare = sorted(set(words), key=rank.__getitem__)
-        rows.append(F.struct(F.lit(label).alias("label"), literal(words).alias("words"), literal(rare).alias("rare"), literal(key).alias("key"), F.lit(at).alias("key_at")))
+        anchor = min(key, key=rank.__getitem__)
+        rows.append(F.struct(F.lit(label).alias("label"), literal(words).alias("words"), literal(rare).alias("rare"), literal(key).alias("key"), F.lit(at).alias("key_at"), F.lit(anchor).alias("anchor"), F.lit(at + key.index(anchor)).alias("anchor_at")))
     return F.array(*rows)
 
 
@@ -101,12 +104,13 @@ def looked_up(t: Column) -> Column:
 
 
 def template_score(t: Column, rare: Column, hits: Column) -> Column:
-    """The best share of the template's words that agree with the file at one alignment that two postings of rare words agree on and that holds the key phrase, else 0."""
+    """The best share of the template's words that agree with the file at one alignment that holds the key phrase, else 0."""
     posted = lambda word: F.filter(F.transform(t["words"], lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
     mine = F.filter(hits, lambda h: F.array_contains(rare, h["word"]))
     aligned = F.sort_array(F.flatten(F.transform(mine, lambda h: F.transform(posted(h["word"]), lambda p: h["at"] - p))))
     met = let(aligned, lambda a: F.array_distinct(F.filter(a, lambda d, i: F.when(i > 0, d == F.get(a, i - 1)).otherwise(False))))
-    held = F.filter(met, lambda d: stands(t["key"], F.size(t["key"]), d + t["key_at"]))
+    keyed = F.transform(F.filter(hits, lambda h: h["word"] == t["anchor"]), lambda h: h["at"] - t["anchor_at"])
+    held = F.filter(F.array_union(met, keyed), lambda d: stands(t["key"], F.size(t["key"]), d + t["key_at"]))
     agree = lambda d: F.size(F.filter(t["words"], lambda w, i: F.when(d + i >= 0, F.get(F.col("words"), d + i) == w).otherwise(False)))
     return F.coalesce(F.array_max(F.transform(held, lambda d: agree(d) / F.size(t["words"]))), F.lit(0.0))
 
@@ -130,7 +134,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", frequencies: dict[str,
     keyed = sorted({min(phrase.split(), key=rank.__getitem__) for _, _, phrase in TEMPLATES})  # without one of these no key phrase stands
     out = out.withColumn("chosen", F.when(F.arrays_overlap("present", literal(keyed)), chosen))
     anchors = F.array_intersect("present", literal(sorted(set(anchor.values()))))
-    out = out.withColumn("sought", F.array_union(anchors, F.coalesce(F.flatten(F.transform("chosen", lambda c: c["rare"])), none("string"))))
+    out = out.withColumn("sought", F.array_union(anchors, F.coalesce(F.flatten(F.transform("chosen", lambda c: F.array_append(c["rare"], c["t"]["anchor"]))), none("string"))))
     hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("sought", w), F.struct(i.alias("at"), w.alias("word")))), lambda h: h.isNotNull())
     out = out.withColumn("hits", F.when(F.size("sought") > 0, hits).otherwise(none("struct<at:int,word:string>")))
     found = []

@@ -159,9 +159,10 @@ def test_license_templates(spark):
 
 
 def test_license_alignments(spark):
-    """Labels and scores by definition: three rarest words a template, two of which agree on an alignment that holds the key phrase."""
+    """Labels and scores by definition: every alignment that holds the key phrase."""
     r = random.Random(3)
-    texts = ["", "free", "the mit license does not apply here"]
+    changed = license_scan.TEMPLATES[0][1].replace("person", "soul").replace("copy", "print").replace("software", "work")
+    texts = ["", "free", "the mit license does not apply here", changed, f"{changed} we thank all for obtaining the associated charge"]
     for _, text, phrase in license_scan.TEMPLATES:
         w = text.split()
         texts += [f"pre words {text} post", " ".join(x if r.random() < 0.8 else "zzz" for x in w), " ".join(w[len(w) // 2 :]), f"{phrase} and {' '.join(reversed(w))}", " ".join(w[:-4]) + " " + license_scan.TEMPLATES[r.randrange(20)][1]]
@@ -174,14 +175,13 @@ def test_license_alignments(spark):
         for label, t, phrase in license_scan.TEMPLATES:
             t, key = t.split(), phrase.split()
             at = next(k for k in range(len(t)) if t[k : k + len(key)] == key)
-            rare = sorted({x for x in t if x in w}, key=lambda x: (frequency[x], x))[:3] if set(key) <= set(w) and len(w) else []
-            met = [p - q for p, x in enumerate(w) if x in rare for q, y in enumerate(t) if x == y] if len(rare) > 1 else []
-            held = [d for d in set(met) if met.count(d) > 1 and d + at >= 0 and w[d + at : d + at + len(key)] == key]
+            held = [p - at for p in range(len(w)) if w[p : p + len(key)] == key]
             score = max((sum(0 <= d + k < len(w) and w[d + k] == x for k, x in enumerate(t)) / len(t) for d in held), default=0.0)
             best, labels = max(best, score), labels | ({label} if score >= license_scan.LEAST_SCORE else set())
         base = {label for p, label in license_scan.PHRASES if f" {p} " in f" {' '.join(w)} "}
         assert got[i]["labels"] == ",".join(sorted(labels | base)), (i, text)
         assert abs(got[i]["score"] - max(best, 0.5 if base else 0.0)) < 1e-9, (i, text)
+    assert got[3]["labels"] == got[4]["labels"] == "mit"  # rare words behind the text take no label from it
 
 
 def test_contamination(docs, empty, bench, spark):
