@@ -8,7 +8,6 @@ them.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -62,35 +61,30 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["index"]
 
 
-PREFIX = 7  # bytes of a string that make its number
+def string_bounds(df: DataFrame, col: str, cells: int) -> list[str]:
+    """At most so many strings that cut the distinct values of a column into runs of like numbers: each run's least, but for the first. Only these come to the driver."""
+    values = df.select(F.col(f"`{col}`").alias("v")).filter("v is not null").distinct()
+    runs = values.repartitionByRange(cells, "v").groupBy(F.spark_partition_id().alias("run")).agg(F.min("v").alias("v"))
+    return sorted((r["v"] for r in runs.collect()), key=str.encode)[1:]
 
 
-def prefix_number(col: Column, skip: int) -> Column:
-    """A string's PREFIX bytes after the first so many, as a number of the same order."""
-    return F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), skip + 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("long")
+def quantise(df: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
+    """Each dimension's cell among 2^bits: how many of its bounds a value reaches. A null is in cell 0.
 
-
-def dimension_numbers(df: DataFrame, dims: Sequence[str]) -> dict[str, Column]:
-    """A number for each dimension, in its order: a string's bytes that follow what all its values begin with. Only two values a string come to the driver."""
-    strings = [c for c in dims if isinstance(df.schema[c].dataType, StringType)]
-    ends = df.agg(*[f(F.col(f"`{c}`").cast("binary")).alias(f"{n}{i}") for i, c in enumerate(strings) for n, f in (("low", F.min), ("high", F.max))]).first() if strings else None
-    numbers = {c: F.col(f"`{c}`") for c in dims}
-    for i, c in enumerate(strings):
-        low, high = bytes(ends[f"low{i}"] or b""), bytes(ends[f"high{i}"] or b"")
-        numbers[c] = prefix_number(F.col(f"`{c}`"), len(os.path.commonprefix([low, high])))
-    return numbers
-
-
-def quantise(df: DataFrame, numbers: dict[str, Column], bits: int) -> list[Column]:
-    """Each number's cell among 2^bits: how many of its quantiles it reaches. A null is in cell 0. The quantiles, 2^bits - 1 a dimension, come to the driver."""
+    A number's bounds are its quantiles over all rows; a string's, quantiles of its distinct values, in the order of their bytes. They come to the driver,
+    2^bits - 1 a dimension.
+    """
     cells = 1 << bits
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    found = df.agg(*[F.percentile_approx(n.cast("double"), shares, F.lit(20 * cells)).alias(f"q{i}") for i, n in enumerate(numbers.values())]).first()
+    texts = {c for c in dims if isinstance(df.schema[c].dataType, StringType)}
+    numbers = [c for c in dims if c not in texts]
+    found = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), shares, F.lit(20 * cells)).alias(f"q{i}") for i, c in enumerate(numbers)]).first() if numbers else None
     out = []
-    for i, n in enumerate(numbers.values()):
-        bounds = sorted(set(found[f"q{i}"] or []))
-        reached = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= n.cast("double"))) if bounds else F.lit(0)  # noqa: B023
-        out.append(F.when(n.isNull(), F.lit(0)).otherwise(reached).cast("int"))
+    for c in dims:
+        value = F.col(f"`{c}`") if c in texts else F.col(f"`{c}`").cast("double")
+        bounds = string_bounds(df, c, cells) if c in texts else sorted(set(found[f"q{numbers.index(c)}"] or []))
+        reached = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= value)) if bounds else F.lit(0)  # noqa: B023
+        out.append(F.when(value.isNull(), F.lit(0)).otherwise(reached).cast("int"))
     return out
 
 
@@ -102,7 +96,7 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], tie: Sequence[str], shard
     Nulls share the lowest cell. An empty table gives an empty result. Columns named hilbert, shard or slot are replaced, all others kept.
     """
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("hilbert", "shard", "slot")])
-    cells = quantise(df, dimension_numbers(df, dims), bits)
+    cells = quantise(df, dims, bits)
     work = packed(df, *[c.alias(f"cell{i}") for i, c in enumerate(cells)], *[F.col(f"`{c}`").alias(f"tie{i}") for i, c in enumerate(tie)])
     placed = work.withColumn("hilbert", hilbert_index([F.col(f"cell{i}") for i in range(len(cells))], bits))
     order = ["hilbert", *[f"tie{i}" for i in range(len(tie))]]

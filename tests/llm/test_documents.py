@@ -312,6 +312,21 @@ def test_shards_hold_equal_texts_and_prune(spark):
     assert order == sorted(order)
 
 
+HILBERT_SITES = [f"https://www.site{k}.org" for k in range(20)] + ["book", "é", None]
+
+
+def test_odd_strings_keep_their_dimension(spark):
+    """One value that begins otherwise than all others does not throw these together; cells keep the order of the bytes, nulls are in the first."""
+    df = spark.createDataFrame([(k, HILBERT_SITES[k % 23]) for k in range(460)], "doc_id long, source string")
+    cells = df.select("source", hilbert.quantise(df, ["source"], 6)[0].alias("cell")).distinct().collect()
+    assert len(cells) == 23 and next(r["cell"] for r in cells if r["source"] is None) == 0
+    known = sorted((r["source"].encode(), r["cell"]) for r in cells if r["source"] is not None)
+    assert [c for _, c in known] == sorted(c for _, c in known) and len({c for _, c in known}) >= 20
+    many = spark.range(5000).selectExpr("id AS doc_id", "concat('https://www.', id, '.org') AS source")
+    sizes = many.select(hilbert.quantise(many, ["source"], 4)[0].alias("cell")).groupBy("cell").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 2 * 5000 / 16
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_visits_neighbours(spark, dims, bits):
     side = 1 << bits
