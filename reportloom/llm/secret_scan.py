@@ -32,14 +32,15 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Class of characters, its pattern for a whole candidate, and the least entropy (bits a character) of a suspicious window.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.1), ("letters", r"^[A-Za-z]+$", 3.8), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8))
-#: A candidate that matches one of these is no secret: no letter, a UUID, a placeholder, a run of the alphabet, a path or name of at most 200 characters in words of at most 14 letters.
+#: A candidate is no secret if it matches all the first patterns of a rule and none of the second: no letter, a UUID, a placeholder, a run of the alphabet, a path, a name of
+#: words that begin with capitals (1 to 4, then 2 or more small letters). Words have 14 letters at most; a path or name of any length may end in two digits.
 ALLOW = (
-    r"^[^A-Za-z]*$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx",
-    r"(?i)0123456789|abcdefghij",
-    r"^(?=.{0,200}$)[A-Za-z]{0,14}(?:[+/_=-][A-Za-z]{0,14})+[0-9]{0,2}$",
-    r"^(?=.{0,200}$)[a-z]{0,14}(?:[A-Z]{1,4}[a-z]{2,14})+[0-9]{0,2}$",
+    ((r"^[^A-Za-z]*$",), ()),
+    ((r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",), ()),
+    ((r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx",), ()),
+    ((r"(?i)0123456789|abcdefghij",), ()),
+    ((r"^[A-Za-z+/_=-]*[0-9]{0,2}$", r"[+/_=-]"), (r"[A-Za-z]{15}",)),
+    ((r"^[A-Za-z]*[0-9]{0,2}$", r"[A-Z]"), (r"[a-z]{15}", r"[A-Z]{5}", r"[A-Z][a-z](?:[^a-z]|$)", r"[A-Z](?:[0-9]|$)")),
 )
 BLOCK = 32  # values that are added up in one fold
 STRETCH = 256  # windows that are slid over in one fold
@@ -142,15 +143,20 @@ def entropy_runs(candidate: Column, threshold: Column, window: int = WINDOW) ->
     return let(codes, lambda cs: let(F.flatten(F.transform(stretches, lambda b: stretch(cs, b * STRETCH))), merged))
 
 
-def entropy_places(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
+def entropy_places(text: Column, allow: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = ALLOW) -> Column:
     """Places, as of `bare`, of the suspicious windows in candidates that are on no allow-list."""
 
     def scored(p: Column) -> Column:
         word = p["match"]
         threshold = F.coalesce(*[F.when(F.rlike(word, F.lit(pattern)), F.lit(bits)) for _, pattern, bits in CLASSES])
         spared = F.lit(False)
-        for pattern in allow:
-            spared = spared | F.rlike(word, F.lit(pattern))
+        for held, broken in allow:
+            rule = F.lit(True)
+            for pattern in held:
+                rule = rule & F.rlike(word, F.lit(pattern))
+            for pattern in broken:
+                rule = rule & ~F.rlike(word, F.lit(pattern))
+            spared = spared | rule
         runs = F.when(~spared, let(threshold, lambda bits: entropy_runs(word, bits))).otherwise(none(RUN))
         return F.transform(runs, lambda r: F.struct((p["start"] + r["from"]).alias("start"), p["rank"].alias("rank"), p["kind"].alias("kind"), (p["start"] + r["to"]).alias("end")))
 

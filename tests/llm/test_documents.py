@@ -80,11 +80,25 @@ def high_windows(word, bits, size=20):
 
 def entropy_spans(t):
     for m in re.finditer(secret_scan.CANDIDATE, t):
-        if not any(re.search(p, m[0]) for p in secret_scan.ALLOW):
+        if not any(all(re.search(p, m[0]) for p in held) and not any(re.search(p, m[0]) for p in broken) for held, broken in secret_scan.ALLOW):
             bits = next(bits for _, p, bits in secret_scan.CLASSES if re.search(p, m[0]))
             yield from ((m.start() + a, 3, "entropy", m.start() + b) for a, b in high_windows(m[0], bits))
 
 
+def test_allow_list_has_no_length(spark):
+    """The rules of paths and names are the plain patterns, at any length."""
+    path, name = r"^[A-Za-z]{0,14}(?:[+/_=-][A-Za-z]{0,14})+[0-9]{0,2}$", r"^[a-z]{0,14}(?:[A-Z]{1,4}[a-z]{2,14})+[0-9]{0,2}$"
+    r = random.Random(9)
+    for _ in range(30_000):
+        word = "".join(r.choice("abAB/-1") for _ in range(r.randint(1, 9))) if r.random() < 0.5 else "".join(r.choice(["a" * r.randint(1, 16), "B" * r.randint(1, 6), "/", "7", "cd"]) for _ in range(r.randint(1, 6)))
+        for pattern, (held, broken) in zip((path, name), secret_scan.ALLOW[4:], strict=True):
+            assert bool(re.search(pattern, word)) == (all(re.search(p, word) for p in held) and not any(re.search(p, word) for p in broken)), word
+    words = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 12)) for _ in range(3_000)]
+    texts = ["/".join(words[:12]), "/".join(words[:20]), "/".join(words), "".join(w.capitalize() for w in words), "/".join(words[:20]) + "/" + "".join(r.sample("abcdefghijklmnopqrstuvwxyz", 15))]
+    got = by_id(secret_scan.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k]["spans"] for k in range(4)] == [""] * 4 and got[4]["spans"].startswith("entropy:")
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     got = by_id(secret_scan.secret_digest(docs))
