@@ -1,4 +1,4 @@
-"""Whether a report's text covers the rows of a parameter table: every cell that counts must be met by a number or stand in the text, its numbers in order."""
+"""What a report's text says of parameters: coverage of a table's rows (J20: every cell that counts is met by a number or stands in the text, its numbers in order) and pieces of evidence."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER, agree, candidates, compact, computed, normalize, replaced, said, strip, topic_label
 from .clauses import special_status
-from .parameters import parameter_value, topics, topics_meet
+from .evidence import CONDITION, MEASURE, condition_rows
+from .parameters import ALIAS, parameter_value, topics, topics_meet
 
 # Cells that say nothing, what makes a cell a model, and what makes it a numeric demand.
 EMPTY_CELLS = ("", "/", "／", "-", "—", "——", "N/A", "NA")
@@ -118,3 +119,58 @@ def compare_rows(cells: DataFrame, refs: DataFrame) -> DataFrame:
     same = agree(normalize("expected"), normalize("value"))
     path = F.when(F.col("_status").isNotNull(), "special").when(covered, "coverage").otherwise("value")
     return met.select("ref_id", "table_id", "row_no", "parameter", "model", "expected", (F.col("_status").isNotNull() | covered | same).alias("matches"), path.alias("path"), F.col("_status").alias("comparison_status"))
+
+
+# Aliases that are units only, what makes a piece of evidence say more, and headings that say nothing.
+UNIT_ALIASES = ("ms", "mv", "bpm", "hz", "v", "a", "ω", "kω", "ppm")
+TELLING, BRACKETED, GENERAL = ("（", "(", "心房", "右室", "左室", "房室", "负载", "@", "240Ω", "500Ω", "2000Ω"), r"(?i)^[（(][A-Za-z0-9μΩ°/%\-.]+[）)]$", "应符合表"
+
+
+def aliases_of(col: Column | str) -> Column:
+    """Names of a parameter or line, of two characters or more: its topic, the names in brackets, and all of it without white space."""
+    every = F.concat(F.array(topic_label(col)), F.regexp_extract_all(said(col), F.lit(ALIAS), F.lit(1)), F.array(compact(normalize(col))))
+    return F.array_distinct(F.filter(every, lambda a: F.length(a) > 1))
+
+
+def evidence_rows(params: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pieces of a report's text that speak of a parameter: ref_id, parameter, nth, label, content.
+
+    params has ref_id and parameter, texts ref_id and report_text. A line that shares a name with the parameter (one holds the other) opens a piece, which ends at
+    the next such line; its first line is the label, the others the content (the label, if there is none). Pieces that say more than the parameter's name come first: of these
+    those whose label is not a bracketed unit or general, and of these those that name a condition or have several lines; each only if there are any. Lines are cut and named once
+    a text, then met by reference.
+    """
+    lines = texts.select("ref_id", F.posexplode(F.filter(F.transform(F.split(said("report_text"), "\n", -1), strip), lambda x: x != "")).alias("line_no", "line"))
+    lines = computed(lines, {"_names": aliases_of("line")})
+    asked = computed(params.select("ref_id", "parameter").distinct(), {"_aliases": F.filter(aliases_of("parameter"), lambda a: ~F.lower(a).isin(*UNIT_ALIASES)), "_bare": compact(normalize("parameter"))}).filter(F.size("_aliases") > 0)
+    met = asked.join(lines, "ref_id")
+    opens = F.exists("_aliases", lambda a: F.exists("_names", lambda b: F.contains(a, b) | F.contains(b, a)))
+    key = ["ref_id", "parameter"]
+    met = computed(met, {"_opens": opens.cast("int")}).withColumn("nth", F.sum("_opens").over(W.partitionBy(*key).orderBy("line_no"))).filter("nth > 0")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    found = met.groupBy(*key, "nth").agg(parts.alias("_lines"), F.first("_bare").alias("_bare"))
+    label = F.get("_lines", F.lit(0))
+    found = found.withColumns({"label": label, "content": F.when(F.size("_lines") == 1, label).otherwise(F.array_join(F.slice("_lines", 2, F.size("_lines")), "\n"))})
+    specific = (compact(normalize("label")) != F.col("_bare")) | (compact(normalize("content")) != compact(normalize("label")))
+    has = lambda c: F.exists(F.array(*[F.lit(w) for w in TELLING]), lambda w: F.contains(F.col(c), w))
+    found = computed(found.drop("_lines", "_bare"), {"_specific": specific, "_plain": ~F.rlike(strip(F.col("label")), F.lit(BRACKETED)) & ~F.contains("label", F.lit(GENERAL)), "_telling": has("label") | F.contains("content", F.lit("\n")) | has("content")}).filter("_specific")
+    whole = W.partitionBy(*key)
+    found = found.withColumn("_any", F.max("_plain").over(whole)).filter("_plain or not _any")
+    found = found.withColumn("_any", F.max("_telling").over(whole)).filter("_telling or not _any")
+    return found.select(*key, F.row_number().over(whole.orderBy("nth")).alias("nth"), "label", "content")
+
+
+def evidence_value(params: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each parameter with its pieces' value: what their conditions result in (each once, in order, with the conditions), else the last number of the first piece that has one and is no condition, else the value behind the parameter's name."""
+    pieces = evidence_rows(params, texts)
+    keyed = pieces.withColumn("_key", F.struct("ref_id", "parameter", F.col("nth").alias("piece")))
+    cases = condition_rows(keyed, "_key", "content").select("_key.ref_id", "_key.parameter", F.struct("_key.piece", "nth").alias("at"), "condition", "result")
+    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]))
+    by_case = cases.groupBy("ref_id", "parameter").agg(ordered("result").alias("_r"), ordered("condition").alias("_c"))
+    by_case = by_case.select("ref_id", "parameter", F.concat(F.array_join("_r", "；"), F.lit("（"), F.array_join("_c", "/"), F.lit("）")).alias("_by_case"))
+    numbers = F.filter(candidates(math_symbols("content")), lambda v: ~F.rlike(compact(v), F.lit(CONDITION)) & ~F.rlike(v, F.lit(MEASURE)))
+    number = pieces.select("ref_id", "parameter", "nth", F.get(numbers, F.size(numbers) - 1).alias("v")).filter("v is not null")
+    by_number = number.groupBy("ref_id", "parameter").agg(F.min_by("v", "nth").alias("_by_number"))
+    out = params.select("ref_id", "parameter").distinct().join(by_case, ["ref_id", "parameter"], "left").join(by_number, ["ref_id", "parameter"], "left").join(texts.select("ref_id", "report_text"), "ref_id", "left")
+    out = parameter_value(out, "report_text", "parameter")
+    return out.select("ref_id", "parameter", F.coalesce("_by_case", "_by_number", "value").alias("value"))

@@ -168,7 +168,7 @@ def fold_continuations(tables: DataFrame) -> DataFrame:
 
     place = F.struct("page_no", "y0", "table_id", F.struct("table_id", *FRAGMENT).alias("fragment"))
     listed = tables.groupBy("ptr_id").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["fragment"]).alias("fragments"))
-    found = listed.select("ptr_id", F.explode(F.aggregate("fragments", start, step)["done"]).alias("d")).select("ptr_id", "d.*")
+    found = listed.select("ptr_id", F.explode(F.aggregate("fragments", start, step)["done"]).alias("_done")).select("ptr_id", "_done.*")
     return tables.join(found, ["ptr_id", "table_id"]).withColumn("continues", F.col("reason").isin(*JOINS))
 
 
@@ -190,7 +190,7 @@ def merge_cells(assessed: DataFrame, cells: DataFrame) -> DataFrame:
     said_row = F.array_join(F.transform("_row", lambda x: compact(F.coalesce(x["text"], F.lit("")))), "|")
     rows = rows.withColumn("_again", first & (F.col("_part") > 1) & F.coalesce(said_row == F.col("_headers"), F.lit(False))).filter("not _again")
     rows = rows.withColumn("_row_no", (F.row_number().over(W.partitionBy("ptr_id", "island").orderBy("_part", "row_no")) - 1).cast("int"))
-    return rows.select("ptr_id", F.col("_base").alias("table_id"), F.col("_row_no").alias("row_no"), F.explode("_row").alias("c"), "page_no", F.col("row_no").alias("from_row")).select("ptr_id", "table_id", "row_no", "c.col_no", "c.text", "page_no", "from_row")
+    return rows.select("ptr_id", F.col("_base").alias("table_id"), F.col("_row_no").alias("row_no"), F.explode("_row").alias("_cell"), "page_no", F.col("row_no").alias("from_row")).select("ptr_id", "table_id", "row_no", "_cell.col_no", "_cell.text", "page_no", "from_row")
 
 
 def merge_continuations(assessed: DataFrame) -> DataFrame:

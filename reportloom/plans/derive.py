@@ -119,6 +119,40 @@ SELECT report_id AS ptr_id, CAST(position AS BIGINT) AS table_id, CAST(position
  split(CASE WHEN (report_id + position) % 7 = 0 THEN '甲,乙,丙,允许误差' WHEN (report_id + position) % 7 = 3 THEN '参数,型号,标准设置,常规数值' ELSE '参数,型号,标准设置,允许误差' END, ',') AS headers,
  split(CASE WHEN position % 2 = 0 THEN '参数,型号,标准设置' ELSE '参数,型号,丁' END, ',') AS paths, (report_id + position) % 7 <> 0 AS is_parameter
 FROM inspection_items i
+""",
+    "ragged_rows": """
+SELECT report_id, source_page AS page_no, CAST(1 AS INT) AS table_no, row_index_in_page AS row_no, split('序号;检验项目;标准条款;标准要求;检验结果;单项结论;备注', ';') AS headers, split(CASE (report_id + position) % 5
+ WHEN 0 THEN concat(sequence_number, ';', inspection_project, ';', standard_clause, ';分类;', standard_requirement, ';', test_result, ';', item_conclusion, ';', remark)
+ WHEN 1 THEN concat(sequence_number, ';', inspection_project, ';', standard_clause, ';', standard_requirement, ';', test_result, ';', item_conclusion)
+ WHEN 2 THEN concat(standard_requirement, ';', test_result) WHEN 3 THEN concat(sequence_number, ';', CASE WHEN position % 2 = 0 THEN '' ELSE inspection_project END, ';;', standard_requirement, ';', test_result, ';', item_conclusion, ';', remark)
+ ELSE concat(sequence_number, ';', inspection_project, ';', standard_clause, ';', standard_requirement, ';', test_result, ';', item_conclusion, ';', remark) END, ';') AS cells
+FROM inspection_items i
+""",
+    "home_fields": """
+SELECT c.report_id, component_name AS sample_name, CASE WHEN c.report_id % 9 = 0 THEN '见样品描述栏' ELSE model_spec END AS model_spec, CASE WHEN c.report_id % 9 = 0 THEN CASE WHEN c.report_id % 2 = 0 THEN '见“样品描述”栏' ELSE '见样品描述栏' END ELSE concat(production_date, 'A') END AS production_date,
+ CASE WHEN c.report_id % 9 = 0 OR c.report_id % 7 = 0 THEN '见样品描述栏' ELSE serial_lot END AS product_id_batch
+FROM (SELECT report_id, min(component_id) AS component_id FROM components GROUP BY report_id) m JOIN components c ON c.report_id = m.report_id AND c.component_id = m.component_id
+""",
+    "home_labels": """
+SELECT c.report_id, CAST(c.component_id * 3 + v.n AS BIGINT) AS label_id, concat(c.component_name, ' 样') AS subject_name, CASE WHEN v.n = 2 AND c.report_id % 4 = 0 THEN '' WHEN v.n = (c.report_id + c.component_id) % 3 THEN concat(model_spec, 'Z') ELSE model_spec END AS model_spec,
+ CASE WHEN (c.report_id + v.n) % 5 = 0 THEN 'none' WHEN c.component_id % 10 = 0 THEN concat(replace(production_date, '.', '/'), 'A') ELSE concat(production_date, 'A') END AS production_date, CASE WHEN v.n = 0 THEN '' ELSE concat('X', serial_lot) END AS batch_number, CASE WHEN c.report_id % 2 = 0 THEN '' ELSE 'SN' END AS serial_number
+FROM components c CROSS JOIN (SELECT CAST(n AS INT) AS n FROM (VALUES (0), (1), (2)) w(n)) v
+""",
+    "ptr_tables": """
+SELECT report_id AS ptr_id, CAST(position AS BIGINT) AS table_id, CAST(1 + position % 2 AS INT) AS table_number, position AS page_no, CAST(CASE WHEN position % 3 = 0 THEN NULL ELSE position END AS INT) AS page_end, '' AS caption,
+ split(CASE WHEN (report_id + position) % 4 = 0 THEN '甲,乙' WHEN (report_id + position) % 9 = 0 THEN '该产品和植入式系统属于磁共振安全医疗器械，在规定的条件下可以接受磁共振检查，详细条件见说明书的相应章节和附录' ELSE '参数,型号,标准设置,允许误差' END, ',') AS headers,
+ split(inspection_project, ',') AS first_cells, CAST(length(standard_requirement) + position AS INT) AS n_rows, CAST(2 + position % 3 AS INT) AS n_cols, CAST(length(standard_requirement) AS INT) AS n_filled
+FROM inspection_items i
+""",
+    "table_references": """
+SELECT report_id AS ptr_id, report_id, CASE WHEN report_id % 3 = 0 THEN '3.1' ELSE '2.1' END AS number_str, CAST(1 + report_id % 3 AS INT) AS table_number, CASE WHEN report_id % 5 = 0 THEN '见表' ELSE '应符合表1中的数值' END AS text_content, inspection_project AS project, '' AS requirement, test_result AS result FROM inspection_items WHERE position = 1
+""",
+    "path_refs": """
+SELECT report_id * 10 + position AS ref_id, CASE position % 4 WHEN 0 THEN 'canonical_path_unavailable' WHEN 1 THEN 'no_records' WHEN 2 THEN 'invalid_column_roles' END AS canonical_reason FROM inspection_items i
+""",
+    "path_rows": """
+SELECT report_id * 10 + position AS ref_id, s.source, concat(s.source, inspection_project) AS parameter, (report_id + position + length(s.source)) % 5 < 2 AS matches
+FROM inspection_items i CROSS JOIN (SELECT source FROM (VALUES ('canonical'), ('legacy'), ('continuation')) v(source)) s WHERE (report_id + position * length(s.source)) % 3 <> 0
 """,
     "clause_items": """
 SELECT report_id, position, CASE WHEN position % 6 = 2 THEN concat('续 ', standard_clause) WHEN position % 6 = 3 THEN concat(standard_clause, '.7') WHEN position % 6 = 5 THEN concat(standard_clause, ' 移位的要求文本') ELSE sequence_number END AS sequence_number, inspection_project,
@@ -127,7 +161,7 @@ SELECT report_id, position, CASE WHEN position % 6 = 2 THEN concat('续 ', stand
 FROM inspection_items i
 """,
 }
-NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"], "report_cells": ["inspection_items"], "sample_cells": ["components"], "label_texts": ["labels_ocr"], "bundle_items": ["inspection_items"], "row_texts": ["inspection_items"], "table_fragments": ["inspection_items"], "clause_items": ["inspection_items"]}
+NEEDS = {"inspection_items": ["lineitem"], "report_pages": ["orders", "lineitem"], "components": ["lineitem", "part"], "labels_ocr": ["components"], "cells": ["inspection_items"], "ptr_lines": ["inspection_items"], "report_cells": ["inspection_items"], "sample_cells": ["components"], "label_texts": ["labels_ocr"], "bundle_items": ["inspection_items"], "row_texts": ["inspection_items"], "table_fragments": ["inspection_items"], "clause_items": ["inspection_items"], "ptr_tables": ["inspection_items"], "table_references": ["inspection_items"], "path_refs": ["inspection_items"], "path_rows": ["inspection_items"], "ragged_rows": ["inspection_items"], "home_fields": ["components"], "home_labels": ["components"]}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_compare_rows(spark):
     assert got[3] == [(4, True, "coverage", None)] and got[4] == [(4, False, "value", None)] and 5 not in got and 8 not in got
     assert [x[0] for x in got[6]] == [1, 2, 3, 4] and {x[1:] for x in got[6]} == {(True, "special", "external_reference")}
     assert got[7] == [(2, False, "value", None), (3, True, "coverage", None)] and got[9] == [(2, False, "value", None), (3, False, "value", None)]
+
+
+def test_evidence(spark):
+    texts = {
+        1: "脉冲宽度应符合表1中的数值。\n脉冲宽度(ms)（心房）\n常规数值：0.1...(0.1)...1.5\n标准设置：0.4\n@240Ω 0.1ms：\n±20μs\n脉冲宽度(ms)（右室）\n常规数值：0.1...(0.1)...1.5\n@500Ω\n±10%\n单位：ms\n@2000Ω\n±20μs",
+        2: "灵敏度\n 2mV \n其他", 3: "无关\n内容", 4: "", 5: None, 6: "阻抗：500Ω", 7: "幅度\n幅度",
+    }
+    asked = {1: "脉冲宽度(ms)", 2: "灵敏度", 3: "灵敏度", 4: "灵敏度", 5: "灵敏度", 6: "阻抗", 7: "幅度"}
+    params = spark.createDataFrame(list(asked.items()), "ref_id long, parameter string")
+    docs = spark.createDataFrame(list(texts.items()), "ref_id long, report_text string")
+    got = {}
+    for r in coverage.evidence_rows(params, docs).orderBy("ref_id", "nth").collect():
+        got.setdefault(r["ref_id"], []).append((r["label"], r["content"].count("\n") + 1))
+    assert got == {1: [("脉冲宽度(ms)（心房）", 4), ("脉冲宽度(ms)（右室）", 6)], 2: [("灵敏度", 2)], 6: [("阻抗：500Ω", 1)]}
+    values = {r["ref_id"]: r["value"] for r in coverage.evidence_value(params, docs).collect()}
+    assert values == {1: "±20μs；±10%（@240Ω 0.1ms：/@500Ω/@2000Ω）", 2: "2mV" if values[2] == "2mV" else "2m", 3: None, 4: None, 5: None, 6: values[6], 7: "幅度" if values[7] else None}
