@@ -153,7 +153,7 @@ def evidence_rows(params: DataFrame, texts: DataFrame) -> DataFrame:
     found = found.withColumns({"label": label, "content": F.when(F.size("_lines") == 1, label).otherwise(F.array_join(F.slice("_lines", 2, F.size("_lines")), "\n"))})
     specific = (compact(normalize("label")) != F.col("_bare")) | (compact(normalize("content")) != compact(normalize("label")))
     has = lambda c: F.exists(F.array(*[F.lit(w) for w in TELLING]), lambda w: F.contains(F.col(c), w))
-    found = computed(found.drop("_lines", "_bare"), {"_specific": specific, "_plain": ~F.rlike(strip(F.col("label")), F.lit(BRACKETED)) & ~F.contains("label", F.lit(GENERAL)), "_telling": has("label") | F.contains("content", F.lit("\n")) | has("content")}).filter("_specific")
+    found = computed(found.drop("_lines"), {"_specific": specific, "_plain": ~F.rlike(strip(F.col("label")), F.lit(BRACKETED)) & ~F.contains("label", F.lit(GENERAL)), "_telling": has("label") | F.contains("content", F.lit("\n")) | has("content")}).filter("_specific")
     whole = W.partitionBy(*key)
     found = found.withColumn("_any", F.max("_plain").over(whole)).filter("_plain or not _any")
     found = found.withColumn("_any", F.max("_telling").over(whole)).filter("_telling or not _any")
