@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import packed, text_of
+from .common import cut, let, packed, small, text_of
 
 CHUNK, OVERLAP = 8_192, 256  # characters
 REMEMBERED = 400_000
+RECENT = 8  # long texts whose ids a task remembers
 AHEAD = 3  # characters that a pre-token's choice may look at beyond its start: the longest contraction
 
 
@@ -134,9 +135,9 @@ def unpacked_starts(lengths: bytes, begin: int) -> np.ndarray:
 
 
 def chunk_starts(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(k0, k1, chunks) of each different text that is longer than a chunk: for each chunk, in order, the lengths of its pre-tokens.
+    """(k0, k1, chunks) of each different text that is longer than a chunk: for each chunk, in order, the lengths of its pre-tokens. The overlap is a chunk at most.
 
-    Each chunk is a row, and chunks are dealt out to tasks, so a very long text is pre-tokenised by many. Copies of a text are made one by a partial aggregate.
+    Each chunk is a row, and chunks are dealt out to tasks, so a very long text is pre-tokenised by many. Of copies of a text only one is: their chunks are made one where they are read and where they meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +146,15 @@ def chunk_starts(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int
             lengths = [packed_lengths(tok.starts(part), len(part)) for part in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths, pa.binary())], ["k0", "k1", "k", "lengths"])
 
-    last = F.floor((F.length("text") - 1) / chunk).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), F.substring("text", k * chunk + 1, F.lit(chunk + overlap)).alias("part")))
+    if overlap > chunk:
+        raise ValueError("an overlap is not longer than a chunk")
+    # cut in one pass over the text; each chunk then takes the overlap from the start of the next
+    whole = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{chunk}}})"), F.lit(1))
+    parts = let(whole, lambda cs: F.transform(cs, lambda c, k: F.struct(k.alias("k"), F.concat(c, F.coalesce(F.substring(F.get(cs, k + 1), 1, overlap), F.lit(""))).alias("part"))))
     rows = texts.select("k0", "k1", F.explode(parts).alias("p")).select("k0", "k1", "p.k", "p.part")
-    dealt = rows.repartition("k0", "k1", "k").mapInArrow(run, "k0 long, k1 long, k int, lengths binary")
-    once = dealt.groupBy("k0", "k1", "k").agg(F.first("lengths").alias("lengths"))
-    return once.groupBy("k0", "k1").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lengths"))), lambda x: x["lengths"]).alias("chunks"))
+    # copies of a text are one before its chunks are dealt out and pre-tokenised
+    dealt = rows.dropDuplicates(["k0", "k1", "k"]).mapInArrow(run, "k0 long, k1 long, k int, lengths binary")
+    return dealt.groupBy("k0", "k1").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lengths"))), lambda x: x["lengths"]).alias("chunks"))
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
@@ -165,16 +169,27 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text",
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row") if rest else F.lit(True).alias("row"), text_of(text_col).alias("text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(ranks.value, pattern)
+        recent: dict[str, list[int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 chunks = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
                 starts = [x and [unpacked_starts(c, k * chunk) for k, c in enumerate(x)] for x in chunks]
-                ids = [tok.encode(tok.pieces(t, x, chunk, overlap)) for t, x in zip(part.column(1).to_pylist(), starts, strict=True)]
+                ids = []
+                for t, x in zip(part.column(1).to_pylist(), starts, strict=True):
+                    if x is None:
+                        ids.append(tok.encode(tok.pieces(t, x, chunk, overlap)))
+                        continue
+                    if t not in recent:  # copies of a long text often stand together
+                        if len(recent) >= RECENT:
+                            recent.clear()
+                        recent[t] = tok.encode(tok.pieces(t, x, chunk, overlap))
+                    ids.append(recent[t])
                 yield pa.RecordBatch.from_arrays([part.column(0), *results(ids, tok, digest)], ["row", *made])
 
     long = rows.filter(F.length("text") > chunk).withColumns({"k0": F.xxhash64("text"), "k1": F.xxhash64(F.length("text"), "text")})
-    met = long.join(chunk_starts(long, ranks, pattern, chunk, overlap), ["k0", "k1"]).select("row", "text", "chunks")
+    starts = small(cut(chunk_starts(long, ranks, pattern, chunk, overlap), "starts"))  # met without a shuffle of texts, if small
+    met = long.join(starts, ["k0", "k1"]).select("row", "text", "chunks")
     schema = StructType([rows.schema["row"], *StructType.fromDDL(DIGESTS if digest else TOKENS)])
     out = rows.filter(F.length("text") <= chunk).mapInArrow(run, schema).unionByName(met.mapInArrow(run, schema))
     return out.select(*(["row.*"] if rest else []), *made)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,9 +54,23 @@ def packed(df: DataFrame, *more: Column | str) -> DataFrame:
 BROADCAST_BYTES = 16 << 20
 
 
+def value_bytes(field: StructField) -> Column:
+    """What a value takes beyond its slot in the row."""
+    kind = field.dataType.typeName()
+    bulk = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if kind in ("string", "binary"):
+        return bulk(F.col(field.name))
+    if kind != "array":
+        return F.lit(0)
+    slots = 8 * F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0))
+    if field.dataType.elementType.typeName() not in ("string", "binary"):
+        return slots
+    return slots + F.coalesce(F.aggregate(field.name, F.lit(0).cast("long"), lambda a, x: a + bulk(x)), F.lit(0).cast("long"))
+
+
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df, a cut table, marked for broadcast if its values, as Spark holds them, take at most so many bytes; beyond that joins shuffle it."""
-    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else 8 * F.coalesce(F.size(f.name), F.lit(0)) if f.dataType.typeName() == "array" else F.lit(0) for f in df.schema), F.lit(16 + 8 * len(df.columns)))
+    width = sum((value_bytes(f) for f in df.schema), F.lit(16 + 8 * len(df.columns)))
     return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
 
 

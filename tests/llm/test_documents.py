@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reportloom.llm import bpe, decontaminate, hilbert, jaccard_join, language_id, license_scan, line_dedup, quality_model, quality_rules, secret_scan
 from reportloom.llm import queries as llm_queries
+from reportloom.llm.common import small
 from reportloom.llm.textnum import blocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, n_words string, _text string"
@@ -387,6 +388,14 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_small_counts_what_arrays_hold(spark):
+    df = spark.createDataFrame([([b"x" * 1000, None], "y" * 50, [1, 2], None)], "a array<binary>, s string, n array<long>, none array<string>")
+    shown = lambda most: "ResolvedHint" in df_plan(small(df, most)) or "broadcast" in df_plan(small(df, most))
+    df_plan = lambda d: d._jdf.queryExecution().analyzed().toString().lower()
+    least = 16 + 8 * 4 + 2 * 8 + 1000 + 50 + 2 * 8
+    assert shown(least) and not shown(least - 1)
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(bpe.CHUNK, bpe.OVERLAP), (40, 12), (7, 3), (64, 1)])
 def test_bpe(docs, empty, chunk, overlap):
     enc = encoding()
