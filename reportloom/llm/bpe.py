@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, let, packed, small, text_of
+from .common import let, packed, text_of
 
 CHUNK, OVERLAP = 8_192, 256  # characters
 REMEMBERED = 400_000
-RECENT = 8  # long texts whose ids a task remembers
+RECENT = 8  # long texts and chunks whose ids and lengths a task remembers
 AHEAD = 3  # characters that a pre-token's choice may look at beyond its start: the longest contraction
 
 
@@ -137,13 +137,20 @@ def unpacked_starts(lengths: bytes, begin: int) -> np.ndarray:
 def chunk_starts(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """(k0, k1, chunks) of each different text that is longer than a chunk: for each chunk, in order, the lengths of its pre-tokens. The overlap is a chunk at most.
 
-    Each chunk is a row, and chunks are dealt out to tasks, so a very long text is pre-tokenised by many. Of copies of a text only one is: their chunks are made one where they are read and where they meet.
+    Each chunk is a row, and chunks are dealt out to tasks, so a very long text is pre-tokenised by many. Copies of a chunk meet in one task, which pre-tokenises one of them; a partial aggregate makes them one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(ranks.value, pattern)
+        recent: dict[str, bytes] = {}
         for batch in batches:
-            lengths = [packed_lengths(tok.starts(part), len(part)) for part in batch.column(3).to_pylist()]
+            lengths = []
+            for part in batch.column(3).to_pylist():
+                if part not in recent:  # copies of a chunk meet in one task
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent[part] = packed_lengths(tok.starts(part), len(part))
+                lengths.append(recent[part])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths, pa.binary())], ["k0", "k1", "k", "lengths"])
 
     if overlap > chunk:
@@ -152,9 +159,9 @@ def chunk_starts(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int
     whole = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{chunk}}})"), F.lit(1))
     parts = let(whole, lambda cs: F.transform(cs, lambda c, k: F.struct(k.alias("k"), F.concat(c, F.coalesce(F.substring(F.get(cs, k + 1), 1, overlap), F.lit(""))).alias("part"))))
     rows = texts.select("k0", "k1", F.explode(parts).alias("p")).select("k0", "k1", "p.k", "p.part")
-    # copies of a text are one before its chunks are dealt out and pre-tokenised
-    dealt = rows.dropDuplicates(["k0", "k1", "k"]).mapInArrow(run, "k0 long, k1 long, k int, lengths binary")
-    return dealt.groupBy("k0", "k1").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lengths"))), lambda x: x["lengths"]).alias("chunks"))
+    dealt = rows.repartition("k0", "k1", "k").mapInArrow(run, "k0 long, k1 long, k int, lengths binary")
+    once = dealt.groupBy("k0", "k1", "k").agg(F.first("lengths").alias("lengths"))
+    return once.groupBy("k0", "k1").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lengths"))), lambda x: x["lengths"]).alias("chunks"))
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
@@ -188,8 +195,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), *results(ids, tok, digest)], ["row", *made])
 
     long = rows.filter(F.length("text") > chunk).withColumns({"k0": F.xxhash64("text"), "k1": F.xxhash64(F.length("text"), "text")})
-    starts = small(cut(chunk_starts(long, ranks, pattern, chunk, overlap), "starts"))  # met without a shuffle of texts, if small
-    met = long.join(starts, ["k0", "k1"]).select("row", "text", "chunks")
+    met = long.join(chunk_starts(long, ranks, pattern, chunk, overlap), ["k0", "k1"]).select("row", "text", "chunks")
     schema = StructType([rows.schema["row"], *StructType.fromDDL(DIGESTS if digest else TOKENS)])
     out = rows.filter(F.length("text") <= chunk).mapInArrow(run, schema).unionByName(met.mapInArrow(run, schema))
     return out.select(*(["row.*"] if rest else []), *made)
