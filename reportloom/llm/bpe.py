@@ -6,7 +6,8 @@ boundary, the text from the last sure boundary on is pre-tokenised again until o
 stitched boundaries are encoded. A text of one chunk needs no stitch and no shuffle. Decoding concatenates the ids' bytes.
 
 The ranks are read on the driver and broadcast, so executors need no file; their size is the vocabulary's. The merges of a
-piece are remembered per task up to a bound.
+piece are remembered per task, in two generations of bounded size, and forgotten at its end: Python workers stay alive between
+tasks and stages, and what they hold counts as the executor's memory.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 from .common import let, packed, text_of
 
 CHUNK, OVERLAP = 8_192, 256  # characters
-REMEMBERED = 400_000
+REMEMBERED = 50_000  # pieces in each of two generations
 RECENT = 8  # long texts and chunks whose ids and lengths a task remembers
 AHEAD = 3  # characters that a pre-token's choice may look at beyond its start: the longest contraction
 
@@ -46,6 +47,7 @@ class Tokenizer:
         self.merge = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=rank_of, special_tokens={}).encode_ordinary  # one piece at a time
         self.bytes_of = {rank: token for token, rank in rank_of.items()}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def starts(self, text: str) -> np.ndarray:
         return np.fromiter((m.start() for m in self.pattern.finditer(text)), dtype=np.int64)
@@ -53,17 +55,22 @@ class Tokenizer:
     def ids(self, piece: str) -> list[int]:
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[piece] = self.merge(piece)
+            if len(self.known) >= REMEMBERED:  # pieces not met for a generation are forgotten, frequent ones stay
+                self.known, self.older = {}, self.known
+            found = self.known[piece] = self.older.get(piece) or self.merge(piece)
         return found
 
     def encode(self, pieces: Iterator[str]) -> list[int]:
-        known, out = self.known, []
+        out: list[int] = []
         for piece in pieces:
-            out += known.get(piece) or self.ids(piece)
+            out += self.known.get(piece) or self.ids(piece)
         return out
 
+    def forget(self) -> None:
+        """Give back what was remembered, and the memory of Arrow batches that are gone."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def pieces(self, text: str, chunks: list[np.ndarray] | None, chunk: int, overlap: int) -> Iterator[str]:
         """The pre-tokens of a text: of its only chunk, or by the starts that its chunks have."""
         if chunks is None:
@@ -152,6 +159,7 @@ def chunk_starts(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int
                     recent[part] = packed_lengths(tok.starts(part), len(part))
                 lengths.append(recent[part])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths, pa.binary())], ["k0", "k1", "k", "lengths"])
+        tok.forget()
 
     if overlap > chunk:
         raise ValueError("an overlap is not longer than a chunk")
@@ -193,6 +201,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text",
                         recent[t] = tok.encode(tok.pieces(t, x, chunk, overlap))
                     ids.append(recent[t])
                 yield pa.RecordBatch.from_arrays([part.column(0), *results(ids, tok, digest)], ["row", *made])
+        tok.forget()
 
     long = rows.filter(F.length("text") > chunk).withColumns({"k0": F.xxhash64("text"), "k1": F.xxhash64(F.length("text"), "text")})
     met = long.join(chunk_starts(long, ranks, pattern, chunk, overlap), ["k0", "k1"]).select("row", "text", "chunks")

@@ -411,6 +411,19 @@ def test_bpe(docs, empty, chunk, overlap):
     assert bytes(by_id(back)[27]["decoded"]) == TEXTS[27].encode()
 
 
+def test_bpe_remembers_a_bounded_number_of_pieces():
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        tok = bpe.Tokenizer(f.read(), P.PATTERN)
+    merges, merge = [], tok.merge
+    tok.merge = lambda piece: merges.append(piece) or merge(piece)
+    for k in range(120_000):
+        assert tok.encode(["often", f"q{k:x}"]) == merge("often") + merge(f"q{k:x}")
+    held = len(tok.known) + len(tok.older)
+    assert held <= 100_000 and merges.count("often") == 1  # a frequent piece stays
+    tok.forget()
+    assert not tok.known and not tok.older and tok.encode(["often"]) == merge("often")
+
+
 def test_language(spark, docs, empty):
     sample = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.language_predictions(sample).join(sample.select("doc_id", "lang"), "doc_id").collect()
